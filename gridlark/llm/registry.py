@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gridlark.llm import line_quality, mixing, sharding, url_filter
+from gridlark.llm import line_quality, mixing, near_dup, sharding, url_filter
 
 QUERIES = {
     "op3_line_quality": line_quality.op3_line_quality,
     "op6_mixing": mixing.op6_mixing,
     "op8_sharding": sharding.op8_sharding,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_near_dup": near_dup.op10_near_dup,
 }
 
 ORACLE: dict[str, str] = {**mixing.ORACLE, **url_filter.ORACLE}
