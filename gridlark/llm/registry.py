@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridlark.llm import line_quality, mixing, near_dup, sharding, token_counts, url_filter
+from gridlark.llm import language_id, line_quality, mixing, near_dup, sharding, token_counts, url_filter
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_line_quality": line_quality.op3_line_quality,
     "op6_mixing": mixing.op6_mixing,
+    "op7_language_id": language_id.op7_language_id,
     "op8_sharding": sharding.op8_sharding,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_near_dup": near_dup.op10_near_dup,
