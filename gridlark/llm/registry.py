@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridlark.llm import language_id, line_quality, mixing, near_dup, sharding, token_counts, url_filter
+from gridlark.llm import decontaminate, language_id, line_quality, mixing, near_dup, sharding, token_counts, url_filter
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_line_quality": line_quality.op3_line_quality,
     "op6_mixing": mixing.op6_mixing,
