@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from gridlark.llm import decontaminate, html_text, language_id, line_quality, mixing, near_dup, sharding, token_counts, tool_calls, url_filter
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_near_dup": near_dup.op10_near_dup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {**mixing.ORACLE, **tool_calls.ORACLE, **url_filter.ORACLE}
