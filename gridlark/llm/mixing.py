@@ -56,14 +56,16 @@ def _cuts(group: pd.DataFrame) -> pd.DataFrame:
     The group has at most classes * 2 ** HASH_BITS rows, whatever the corpus.
     """
     group = group.sort_values(["class", "place"], ascending=[False, True])
-    owed, cuts, taken = float(group["extra"].iloc[0]), [], 0.0
+    size = float(group["source_size"].iloc[0])
+    share = float(group["extra"].iloc[0]) / size if size else 0.0
+    carry, cuts = 0.0, []
     for cls, part in group.groupby("class", sort=False):
         sums = part["words"].to_numpy(float)
         ends = np.cumsum(sums)
+        owed = share * float(ends[-1]) + carry
         n = int(np.searchsorted(ends - sums / 2, owed, side="right"))  # whole places while half of the next is still owed
-        got = float(ends[n - 1]) if n else 0.0
         cuts.append((int(cls), int(part["place"].iloc[n]) if n < len(part) else 1 << HASH_BITS))
-        owed, taken = owed - got, taken + got
+        carry = owed - (float(ends[n - 1]) if n else 0.0)
     out = pd.DataFrame(cuts, columns=["class", "cut"])
     for c in ("source_key", "source_size", "target", "whole"):
         out[c] = group[c].iloc[0]
@@ -86,9 +88,9 @@ def mix_sources(
     The mix is ``share`` times the size of all documents. A source's target is
     at most ``max_epochs`` times its size; the excess goes to the others by
     weight (``water_level``). The target's whole epochs take every document;
-    the rest takes one more copy of documents in the order of a seeded hash,
-    within size classes from large to small, so that what is taken ends within
-    about one small document of the target.
+    the rest takes one more copy of that share of each size class, in the
+    order of a seeded hash; what a class is over or under goes to the next
+    smaller one, so that what is taken ends near half a small document of the target.
 
     Returns all columns of ``docs`` in a struct ``doc``, and size, source_size, target,
     copies. Nulls: a null source is a source; a null text has size 0; a null
@@ -154,11 +156,12 @@ lv AS (SELECT max((total - full_caps) / free) FILTER ((total - full_caps) / free
 s3 AS (SELECT k, source_size, least(cap, coalesce(level, 'inf'::double) * weight) AS target FROM s2, lv),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole, target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS extra FROM s3),
 r AS (SELECT *, sum(words) OVER (PARTITION BY k, class ORDER BY place) AS ends FROM h),
-o{len(CLASS_BOUNDS) + 1} AS (SELECT k, extra AS owed FROM s)"""
+o{len(CLASS_BOUNDS) + 1} AS (SELECT k, CASE WHEN source_size > 0 THEN extra / source_size ELSE 0 END AS share, 0.0::double AS carry FROM s)"""
     for c in range(len(CLASS_BOUNDS), -1, -1):
         sql += f""",
-t{c} AS (SELECT o.k, o.owed, max(r.place) AS last, coalesce(max(r.ends), 0) AS got FROM o{c + 1} o LEFT JOIN r ON r.k = o.k AND r.class = {c} AND r.ends - r.words / 2 <= o.owed GROUP BY o.k, o.owed),
-o{c} AS (SELECT k, owed - got AS owed FROM t{c})"""
+w{c} AS (SELECT o.k, o.share, o.share * coalesce(m.total, 0) + o.carry AS owed FROM o{c + 1} o LEFT JOIN (SELECT k, sum(words) AS total FROM h WHERE class = {c} GROUP BY k) m USING (k)),
+t{c} AS (SELECT w.k, w.share, w.owed, max(r.place) AS last, coalesce(max(r.ends), 0) AS got FROM w{c} w LEFT JOIN r ON r.k = w.k AND r.class = {c} AND r.ends - r.words / 2 <= w.owed GROUP BY w.k, w.share, w.owed),
+o{c} AS (SELECT k, share, owed - got AS carry FROM t{c})"""
     cuts = " UNION ALL ".join(f"SELECT k, {c} AS class, coalesce(last, -1) AS last FROM t{c}" for c in range(len(CLASS_BOUNDS) + 1))
     return (
         sql
