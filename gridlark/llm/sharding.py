@@ -26,7 +26,7 @@ class _Boundaries:
         self.total, self.widest, self.spark = total, widest, groups.sparkSession
         self.cell = max(1, -(-total // CELLS))
         cells = F.sequence(F.floor(F.col("start") / F.lit(self.cell)), F.floor((F.col("end") - 1) / F.lit(self.cell)))
-        rows = groups.where("end > start").select("start", "end", F.explode(cells).alias("cell"))
+        rows = groups.select("start", "end", F.explode(cells).alias("cell"))
         self.rows = table(rows.repartitionByRange("start").sortWithinPartitions("start"), "shard-cells")
 
     def around(self, places: list[int]) -> dict[int, tuple[int, int]]:
@@ -101,7 +101,8 @@ def cut_points(b: _Boundaries, shards: int, capacity: int, least: list[int]) ->
 def shard_groups(docs: DataFrame, shards: int, size: Column, group: Column, keep: list[str], doc_id: str = "doc_id") -> DataFrame:
     """Deal documents into ``shards`` contiguous shards of groups that are never split.
 
-    Groups are ordered by ``group`` (not null), documents within by ``doc_id``; sizes are not null.
+    Groups are ordered by ``group`` (not null), documents within by ``doc_id``;
+    sizes are not null, and below 1 count as 1 in the balance.
     The largest shard is as small as the atomic groups allow. Only sums, the
     trial capacities and the cuts reach the driver: their number does not
     depend on the input. A hot group is spread over range partitions by
@@ -113,17 +114,18 @@ def shard_groups(docs: DataFrame, shards: int, size: Column, group: Column, keep
     empty input gives an empty result.
     """
     base = docs.select(*keep, docs[doc_id].alias("_order"), group.alias("_group"), size.cast("long").alias("size"))
-    ranked = table(running_totals(base, ["_group", "_order"], {"_end": "size"}, "shard-ranked"), "shard-docs")
-    groups = ranked.groupBy("_group").agg(F.max("_end").alias("end"), F.sum("size").alias("bytes"))
+    base = base.withColumn("_weight", F.greatest("size", F.lit(1)))
+    ranked = table(running_totals(base, ["_group", "_order"], {"_end": "_weight"}, "shard-ranked"), "shard-docs")
+    groups = ranked.groupBy("_group").agg(F.max("_end").alias("end"), F.sum("_weight").alias("bytes"))
     groups = table(groups.select((F.col("end") - F.col("bytes")).alias("start"), "end"), "shard-groups")
     total, widest = groups.agg(F.max("end"), F.max(F.col("end") - F.col("start"))).first()
-    if not total:  # no rows, or all of size 0
+    if not total:  # no rows
         return ranked.select(*keep, "size", F.lit(0).alias("shard"), F.col("rank").alias("slot"))
     b = _Boundaries(groups, total, widest)
     begins = [0, *cut_points(b, shards, *smallest_capacity(b, shards))[:-1]]
     before = list(ranked.agg(*[F.count(F.when((F.col("_end") <= c) & F.lit(c > 0), 1)).alias(f"c{j}") for j, c in enumerate(begins)]).first())
-    # a row is in the last shard that begins below its end; rows of size 0 before all others are in the first
-    where = F.greatest(F.lit(0), F.size(F.filter(F.lit(begins).cast("array<bigint>"), lambda c: c < F.col("_end"))) - 1)
+    # a row is in the last shard that begins below its end
+    where = F.size(F.filter(F.lit(begins).cast("array<bigint>"), lambda c: c < F.col("_end"))) - 1
     out = ranked.withColumn("shard", where)
     return out.select(*keep, "size", "shard", (F.col("rank") - F.element_at(F.lit(before).cast("array<bigint>"), F.col("shard") + 1)).alias("slot"))
 
