@@ -17,8 +17,8 @@ from gridlark.llm.common import carried, table
 #: A token is a longest run of letters, digits and underscores, in lower case.
 TOKEN = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-#: Postings in a block that has a maximum of its own.
-BLOCK = 32
+#: Neighbouring items, in order of length, that share a block: a term has a maximum in each.
+BLOCK = 4
 #: Most postings of an index shard; a larger benchmark is searched shard by shard.
 SHARD_POSTINGS = 2_000_000
 #: Words of the n-grams by which overlap is verified (fewer if a part is shorter).
@@ -55,7 +55,8 @@ class Index:
     terms: dict[str, int]  # from 1; 0 stands for all other words
     items: list[np.ndarray]  # ordinals of the items of a term, ascending
     impacts: list[np.ndarray]
-    tops: list[np.ndarray]  # the largest impact of each block
+    blocks: list[np.ndarray]  # the blocks of those items
+    tops: list[np.ndarray]  # the largest impact of each of those blocks
     bounds: np.ndarray  # the largest impact of each term
     item_ids: list[int]
     parts: list[tuple[set, set]]  # n-grams of question and answer
@@ -65,8 +66,8 @@ class Index:
         """All items whose impacts over the query's terms sum to the threshold.
 
         Cursors run through the lists in item order. A pivot is the first item
-        that the terms' bounds let reach the threshold; the bounds of the
-        current blocks then decide whether it is scored or a whole block passed.
+        that the terms' bounds let reach the threshold; the maxima of its
+        block then decide whether it is scored or the block is passed over.
         """
         lists = [[t, 0] for t in query]
         out: list[tuple[int, float]] = []
@@ -79,6 +80,10 @@ class Index:
         def skip(cursor, to: int) -> None:
             cursor[1] += int(np.searchsorted(self.items[cursor[0]][cursor[1] :], to))
 
+        def top(t: int, block: int) -> float:
+            k = int(np.searchsorted(self.blocks[t], block))
+            return float(self.tops[t][k]) if k < len(self.blocks[t]) and self.blocks[t][k] == block else 0.0
+
         while True:
             lists = sorted((c for c in lists if item(c) < end), key=item)
             bound, pivot = 0.0, -1
@@ -91,19 +96,11 @@ class Index:
                 return out
             at = item(lists[pivot])
             near = [c for c in lists if item(c) <= at]
-            best, until = 0.0, end
-            for t, pos in near:
-                place = pos + int(np.searchsorted(self.items[t][pos:], at))
-                if place >= len(self.items[t]):
-                    continue
-                block = place // BLOCK
-                best += self.tops[t][block]
-                until = min(until, int(self.items[t][min((block + 1) * BLOCK, len(self.items[t])) - 1]) + 1)
-            if best < threshold:
-                # no item before the first block's end, or before the next list begins, can reach it
+            if sum(top(c[0], at // BLOCK) for c in near) < threshold:
+                # nothing before the block's end, or before the next list begins, can reach it
                 after = item(lists[len(near)]) if len(near) < len(lists) else end
                 for c in near:
-                    skip(c, max(at + 1, min(until, after)))
+                    skip(c, max(at + 1, min((at // BLOCK + 1) * BLOCK, after)))
             elif item(lists[0]) == at:
                 score = float(sum(self.impacts[c[0]][c[1]] for c in near))
                 if score >= threshold:
@@ -115,6 +112,49 @@ class Index:
                     skip(c, at)
 
 
+class Sieve:
+    """Which passages of a text can reach a threshold, by block maxima, for all passages at once.
+
+    The commonest terms are set apart, as many as together weigh at most half
+    the threshold in any item. A passage needs the rest from the maxima that
+    the other terms have in one block; sums over those few postings find the
+    passages (as in MaxScore), and only these are queried.
+    """
+
+    def __init__(self, index: Index, threshold: float) -> None:
+        self.index, self.threshold = index, threshold
+        self.n_blocks = -(-len(index.item_ids) // BLOCK)
+        common = np.zeros(len(index.item_ids))
+        essential = np.ones(len(index.items), bool)
+        essential[0] = False
+        for t in sorted(range(1, len(index.items)), key=lambda t: (-len(index.items[t]), t)):
+            more = common.copy()
+            more[index.items[t]] += index.impacts[t]
+            if more.max() > threshold / 2:
+                break
+            common, essential[t] = more, False
+        self.essential = essential
+        self.need = threshold - np.maximum.reduceat(common, np.arange(0, len(common), BLOCK))
+        self.count = np.array([len(b) for b in index.blocks])
+        self.first = np.concatenate([[0], np.cumsum(self.count)[:-1]])
+        self.block, self.top = np.concatenate(index.blocks), np.concatenate(index.tops)
+
+    def passages(self, ids: np.ndarray, n: int) -> np.ndarray:
+        """Numbers of passages, of n, that pass; passage k begins at k times the longest item's length."""
+        at = np.flatnonzero(self.essential[ids])
+        half = at // self.index.widest
+        window = np.concatenate([half, half - 1])  # a token is in two passages
+        term = np.concatenate([ids[at], ids[at]])
+        here = (window >= 0) & (window < n)
+        pairs = np.unique(window[here] * len(self.count) + term[here])
+        window, term = pairs // len(self.count), pairs % len(self.count)
+        count = self.count[term]
+        place = np.arange(count.sum()) + np.repeat(self.first[term] - np.cumsum(count) + count, count)
+        key, back = np.unique(np.repeat(window, count) * self.n_blocks + self.block[place], return_inverse=True)
+        sums = np.bincount(back, weights=self.top[place], minlength=len(key))
+        return np.unique(key[sums >= self.need[key % self.n_blocks] - 1e-9] // self.n_blocks)
+
+
 def build_indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Index]:
     """Indexes that together hold all items, each of bounded size.
 
@@ -147,19 +187,22 @@ def build_indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "t
 
 
 def _index(items: DataFrame, weighted: DataFrame, mine) -> Index:
-    rows = items.where(mine).orderBy("item_id", "text").select("row", "item_id", "text", F.size("words").alias("n")).collect()  # a shard, of bounded size
+    rows = items.where(mine).orderBy(F.size("words"), "item_id", "text").select("row", "item_id", "text", F.size("words").alias("n")).collect()  # a shard, of bounded size
     ordinal = {r["row"]: k for k, r in enumerate(rows)}
     found = weighted.where(mine).toPandas()
     found["item"] = found["row"].map(ordinal)
-    terms, lists, impacts, tops = {}, [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+    none, zero = np.zeros(0, np.int64), np.zeros(0)
+    terms, lists, impacts, blocks, tops = {}, [none], [zero], [none], [zero]
     for term, part in found.sort_values(["term", "item"]).groupby("term", sort=True):
         terms[term] = len(lists)
         lists.append(part["item"].to_numpy(np.int64))
         impacts.append(part["impact"].to_numpy())
-        tops.append(np.maximum.reduceat(impacts[-1], np.arange(0, len(part), BLOCK)))
+        own, first = np.unique(lists[-1] // BLOCK, return_index=True)
+        blocks.append(own)
+        tops.append(np.maximum.reduceat(impacts[-1], first))
     bounds = np.array([x.max() if len(x) else 0.0 for x in impacts])
     parts = [tuple(map(grams, question_answer(r["text"]))) for r in rows]
-    return Index(terms, lists, impacts, tops, bounds, [r["item_id"] for r in rows], parts, max((r["n"] for r in rows), default=1))
+    return Index(terms, lists, impacts, blocks, tops, bounds, [r["item_id"] for r in rows], parts, max((r["n"] for r in rows), default=1))
 
 
 def _overlap(part: set, passage: list[str]) -> float:
@@ -169,25 +212,22 @@ def _overlap(part: set, passage: list[str]) -> float:
     return len(part & set(zip(*(passage[i:] for i in range(n)), strict=False))) / len(part)
 
 
-def search(index: Index, text: str | None, threshold: float, overlap: float) -> list[tuple]:
+def search(sieve: Sieve, text: str | None, overlap: float) -> list[tuple]:
     """Verified (item_id, start, score, question overlap, answer overlap) of a whole text, the best passage of each item.
 
     Passages are windows twice as long as the longest item, each beginning in
     the middle of the one before, so that any run as long as an item lies
-    within one. Sums of the terms' bounds tell at once which passages can
-    reach the threshold; those are queried.
+    within one.
     """
-    words = tokens(text)
+    index, threshold, words = sieve.index, sieve.threshold, tokens(text)
     if not words:
         return []
     half = index.widest
     ids = np.fromiter(map(index.terms.get, words, repeat(0)), np.int64, len(words))
-    sums = np.concatenate([[0.0], np.cumsum(index.bounds[ids])])
-    starts = np.arange(0, max(1, len(words) - half), half)
-    ends = np.minimum(starts + 2 * half, len(words))
+    n = max(1, -(-(len(words) - half) // half))
     best: dict[int, tuple] = {}
-    for at in np.flatnonzero(sums[ends] - sums[starts] >= threshold - 1e-9):
-        start, end = int(starts[at]), int(ends[at])
+    for start in (sieve.passages(ids, n) * half).tolist():
+        end = min(start + 2 * half, len(words))
         query = [t for t in np.unique(ids[start:end]).tolist() if t]
         for ordinal, score in index.wand(query, threshold - 1e-9):
             passage = words[start:end]
@@ -196,10 +236,10 @@ def search(index: Index, text: str | None, threshold: float, overlap: float) ->
                 hit = (index.item_ids[ordinal], start, score, q, a)
                 if ordinal not in best or (score, q + a, -start) > (best[ordinal][2], best[ordinal][3] + best[ordinal][4], -best[ordinal][1]):
                     best[ordinal] = hit
-    return [best[k] for k in sorted(best)]
+    return sorted(best.values())
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: list[str] | None = None, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: list[str] | None = None, threshold: float = 0.7, overlap: float = 0.8) -> DataFrame:
     """The carried columns (default doc_id) and ``hits``, the benchmark items each whole text contains.
 
     An item is hit if a passage scores at least ``threshold`` of its BM25
@@ -219,9 +259,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry:
 
     def passed(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+            sieve = Sieve(sent.value, threshold)
             for batch in batches:
-                hits = [[*(old or []), *(dict(zip(names, h, strict=True)) for h in search(index, t, threshold, overlap))] for t, old in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)]
+                hits = [[*(old or []), *(dict(zip(names, h, strict=True)) for h in search(sieve, t, overlap))] for t, old in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(hits, kind)], names=[*carry, "_text", "hits"])
 
         return run

@@ -29,6 +29,23 @@ def test_wand_equals_exhaustive_scoring(spark, monkeypatch):
             assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_sieve_passes_all_that_wand_finds(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK", 4)
+    rng = random.Random(5)
+    vocabulary = [f"w{int(rng.paretovariate(0.6)) % 200}" for _ in range(300)]
+    (index,) = dc.build_indexes(spark.createDataFrame(bench(rng, 80, vocabulary), "item_id long, text string"))
+    for threshold in (0.3, 0.6):
+        sieve = dc.Sieve(index, threshold)
+        for _ in range(100):
+            ids = np.array([rng.randrange(len(index.items)) for _ in range(rng.randrange(1, 12 * index.widest))])
+            n = max(1, -(-(len(ids) - index.widest) // index.widest))
+            passed = set(sieve.passages(ids, n).tolist())
+            for k in range(n):
+                window = ids[k * index.widest : (k + 2) * index.widest]
+                if exhaustive(index, [t for t in np.unique(window) if t], threshold):
+                    assert k in passed
+
+
 def test_planted_items_are_found_in_shards_too(spark, monkeypatch):
     rng = random.Random(8)
     vocabulary = [f"v{k}" for k in range(900)]
