@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 DIMS = ("t", "z", "y", "x", "e", "m", "d")
 #: Names on output.
 STANDARD = {"t": "time", "z": "lev", "y": "lat", "x": "lon", "e": "ens", "m": "mode"}
-#: How coordinate names begin.
-PREFIXES = {"lon": "x", "x": "x", "lat": "y", "y": "y", "lev": "z", "plev": "z", "z": "z", "time": "t", "t": "t", "ens": "e"}
+#: How coordinate names begin; the dimensions' own letters stand for themselves only.
+PREFIXES = {"lon": "x", "lat": "y", "lev": "z", "plev": "z", "time": "t", "ens": "e"}
 #: Dimensions that arrays without named axes have, by their number.
 BY_RANK = {1: ("t",), 2: ("y", "x"), 3: ("t", "y", "x"), 4: ("t", "z", "y", "x")}
 
