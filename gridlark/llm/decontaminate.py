@@ -259,7 +259,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry:
 
     def passed(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sieve = Sieve(sent.value, threshold)
+            sieve = Sieve(Index(*sent.value), threshold)
             for batch in batches:
                 hits = [[*(old or []), *(dict(zip(names, h, strict=True)) for h in search(sieve, t, overlap))] for t, old in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(hits, kind)], names=[*carry, "_text", "hits"])
@@ -267,7 +267,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry:
         return run
 
     for index in indexes:
-        sent = docs.sparkSession.sparkContext.broadcast(index)  # of bounded size
+        # of bounded size; plain values, as executors may lack this package
+        sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(index).values()))
         out = out.mapInArrow(passed(sent), f"{kinds}, _text string, hits {HITS}")
     return out.drop("_text")
 

@@ -201,10 +201,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     carry = carried(docs, ["doc_id"] if carry is None else carry, ["lang_pred", "score"])
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry] + ["lang_pred string, score double"])
     at = len(carry)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights a language
+    # 2 ** BITS weights a language; plain values, as executors may lack this package
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = Model(*sent.value)
         for batch in batches:
             out, scores = [], []
             for t in batch.column(at).to_pylist():
