@@ -401,7 +401,7 @@ def _(s, d):
     engine = Engine(s, cubes={"model": month_cube(s, d)})
     request = """[domain=[{"name":"d0","lat":{"start":-30,"end":60,"system":"values"}}],
       variable=[{"uri":"view:model","name":"tas:v0","domain":"d0"}],
-      operation=[{"name":"edas.ave","axes":"t","input":"v0","groupby":"t.month"}]]"""
+      operation=[{"name":"cube.ave","axes":"t","input":"v0","groupby":"t.month"}]]"""
     (df,) = engine.frames(request).values()
     return rounded(df.withColumnRenamed("ave[v0]", "v"), ["lat", "lon"])
 
@@ -412,9 +412,9 @@ def _(s, d):
     request = {
         "variable": [{"uri": "view:model", "name": "tas:v0"}],
         "operation": [
-            {"name": "edas.max", "axes": "xy", "input": "v0:top"},
-            {"name": "edas.var", "axes": "t", "input": "top:a"},
-            {"name": "edas.std", "axes": "t", "input": "top:b"},
+            {"name": "cube.max", "axes": "xy", "input": "v0:top"},
+            {"name": "cube.var", "axes": "t", "input": "top:a"},
+            {"name": "cube.std", "axes": "t", "input": "top:b"},
         ],
     }
     found = engine.frames(request)
@@ -426,7 +426,7 @@ def _(s, d):
     engine = Engine(s, cubes={"a": month_cube(s, d), "b": other_cube(s, d)})
     request = {
         "variable": [{"uri": "view:a", "name": "tas:v0"}, {"uri": "view:b", "name": "tas:v1"}],
-        "operation": [{"name": "edas.ave", "axes": "e", "input": "v0,v1:m"}, {"name": "edas.anomaly", "axes": "t", "input": "m:out"}],
+        "operation": [{"name": "cube.ave", "axes": "e", "input": "v0,v1:m"}, {"name": "cube.anomaly", "axes": "t", "input": "m:out"}],
     }
     df = engine.frames(request)["out"]
     return rounded(df.withColumnRenamed("anomaly[ave[v0]]", "v"), ["time", "lat", "lon"])

@@ -36,7 +36,7 @@ def test_offsets_frequencies_and_sizes():
 
 
 def test_text_requests():
-    text = """[domain=[{"name":"d0","lat":{"start":0,"end":50.5,"system":"values"},"lev":500}],variable=[{'uri':"view:m","name":["a:v0","b:v1"]}];operation=[{"name":"edas.ave","input":"v0,v1:x","axes":"xy"}]]"""
+    text = """[domain=[{"name":"d0","lat":{"start":0,"end":50.5,"system":"values"},"lev":500}],variable=[{'uri':"view:m","name":["a:v0","b:v1"]}];operation=[{"name":"cube.ave","input":"v0,v1:x","axes":"xy"}]]"""
     spec = parse_text(text)
     assert spec["domain"][0]["lat"] == {"start": 0, "end": 50.5, "system": "values"}
     assert spec["variable"][0]["name"] == ["a:v0", "b:v1"]
@@ -56,9 +56,9 @@ def test_connectors_and_names():
 
 
 def test_requests_are_checked():
-    ok = {"variable": [{"uri": "view:m", "name": "tas:v0"}], "operation": [{"name": "edas.ave", "input": "v0", "axes": "t"}]}
+    ok = {"variable": [{"uri": "view:m", "name": "tas:v0"}], "operation": [{"name": "cube.ave", "input": "v0", "axes": "t"}]}
     Request.parse(ok)
-    for change in ({"variable": [{"uri": "view:m", "name": "tas:v9"}]}, {"operation": [{"name": "edas.ave", "input": "v0:v0"}]}, {"variable": [{"uri": "view:m", "name": "tas:v0", "domain": "none"}]}):
+    for change in ({"variable": [{"uri": "view:m", "name": "tas:v9"}]}, {"operation": [{"name": "cube.ave", "input": "v0:v0"}]}, {"variable": [{"uri": "view:m", "name": "tas:v0", "domain": "none"}]}):
         with pytest.raises(ValueError):
             Request.parse(ok | change)
 
@@ -71,7 +71,7 @@ def test_every_operation_runs(spark):
         two = {"diff": "v0,w0", "worldclim": "v0,v1,v2"}.get(op, "v0")
         spec = {
             "variable": [{"uri": "view:a", "name": "tas:v0,tasmin:v1,tasmax:v3,pr:v2"}, {"uri": "view:b", "name": "tas:w0"}],
-            "operation": [{"name": f"edas.{op}", "input": two, "axes": "" if op in ("filter", "worldclim") else "t", **params.get(op, {})}],
+            "operation": [{"name": f"cube.{op}", "input": two, "axes": "" if op in ("filter", "worldclim") else "t", **params.get(op, {})}],
         }
         if op == "worldclim":
             spec["operation"][0] |= {"input": "v1,v3,v2", "minTemp": "v1", "maxTemp": "v3", "moist": "v2"}
@@ -81,7 +81,7 @@ def test_every_operation_runs(spark):
     with pytest.raises(ValueError):
         engine.run({"variable": [{"uri": "view:a", "name": "tas:v0"}], "operation": [{"name": "telemap", "input": "v0"}]})
     with pytest.raises(KeyError):
-        engine.run({"variable": [{"uri": "view:a", "name": "tas:v0"}], "operation": [{"name": "edas.nothing", "input": "v0"}]})
+        engine.run({"variable": [{"uri": "view:a", "name": "tas:v0"}], "operation": [{"name": "cube.nothing", "input": "v0"}]})
 
 
 def test_own_operations_can_be_registered(spark):
@@ -102,7 +102,7 @@ def test_own_operations_can_be_registered(spark):
 def test_addresses_follow_the_policy():
     assert Address.parse("collection:cip").kind == "collection"
     assert Address.parse("file:///data/x.parquet").path == "/data/x.parquet"
-    assert Address.parse("esgf@archive:a/b").auth == "esgf"
+    assert Address.parse("key@archive:a/b").auth == "key"
     with pytest.raises(PermissionError):
         Address.parse("https://data.example.org/x")
     policy = Policy(("dap",), ("data.example.org",))
@@ -124,7 +124,7 @@ def test_archive_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         archive.path("../../etc")
     engine = Engine(spark, archive=archive)
-    (df,) = engine.frames({"variable": [{"uri": "archive:r1", "name": "tas:v0"}], "operation": [{"name": "edas.max", "axes": "t", "input": "v0"}]}).values()
+    (df,) = engine.frames({"variable": [{"uri": "archive:r1", "name": "tas:v0"}], "operation": [{"name": "cube.max", "axes": "t", "input": "v0"}]}).values()
     assert df.count() == 30
 
 
@@ -142,7 +142,7 @@ def test_catalogue_prunes_files(spark, tmp_path):
     minute = lambda *d: (datetime.date(*d) - datetime.date(1970, 1, 1)).days * 1440
     assert [p[-12:-8] for p in catalogue.files(spark, "agg", minute(1996, 5, 1), minute(1997, 2, 1))] == ["1996", "1997"]
     engine = Engine(spark, catalogue=catalogue)
-    (df,) = engine.frames({"variable": [{"uri": "collection:coll", "name": "tas:v0"}], "operation": [{"name": "edas.ave", "axes": "xyt", "input": "v0"}]}).values()
+    (df,) = engine.frames({"variable": [{"uri": "collection:coll", "name": "tas:v0"}], "operation": [{"name": "cube.ave", "axes": "xyt", "input": "v0"}]}).values()
     assert df.count() == 1
     with pytest.raises(KeyError):
         catalogue.open(spark, "coll", ["hur"])
