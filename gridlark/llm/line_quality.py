@@ -140,3 +140,44 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules over every whole text of ``documents``."""
     out = clean_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_punctuation", "n_navigation", "n_boilerplate")
+
+
+def _oracle() -> str:
+    """The same counts and rules over lines and windows of words."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    one_of = lambda xs: "(" + ", ".join(map(quote, xs)) + ")"
+    words = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+    boilerplate = " OR ".join(f"contains(low, {quote(x)})" for x in BOILERPLATE)
+    bare = "' .,:;!?|»>-•·' || chr(9) || chr(10) || chr(13)"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {words.format("coalesce(text, '')")} AS w FROM documents
+), g AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)
+), c AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1) GROUP BY rid
+), l AS (
+  SELECT rid, line, lower(line) AS low, {words.format("line")} AS lw, nth FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS nth FROM d)
+), m AS (
+  SELECT *, len(array_to_string(lw, '')) AS own, row_number() OVER (PARTITION BY rid, line ORDER BY nth) AS again,
+    len(list_filter(lw, lambda x: x IN ('|', '»', '>', '/', '·', '•'))) AS bars,
+    len(list_filter(lw, lambda x: right(x, 3) IN ('%%%', '***', '###', '$$$', '&&&') OR right(x, 2) = '!!')) AS odd,
+    len(line) - len(translate(line, '{SYMBOLS}', '')) AS symbols,
+    right(rtrim(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {quote(CLOSING)}), 1) AS last
+  FROM l WHERE len(lw) > 0
+), r AS (
+  SELECT *, CASE WHEN {boilerplate} THEN 'boilerplate'
+    WHEN bars >= 2 AND 4 * bars >= len(lw) OR trim(low, {bare}) IN {one_of(NAVIGATION)} THEN 'navigation'
+    WHEN 5 * odd > len(lw) OR 10 * symbols > own OR NOT contains({quote(TERMINAL)}, last) AND len(lw) < 30 THEN 'punctuation' END AS rule
+  FROM m
+), s AS (
+  SELECT rid, count(*) AS n_lines, count(*) FILTER (again > 1) AS dup, sum(own) FILTER (rule IS NOT NULL) AS lost, count(*) FILTER (rule = 'punctuation') AS p, count(*) FILTER (rule = 'navigation') AS n, count(*) FILTER (rule = 'boilerplate') AS b FROM r GROUP BY rid
+), a AS (
+  SELECT doc_id, len(w)::bigint AS n_words, len(array_to_string(w, ''))::bigint AS word_chars, (len(text) - len(translate(text, '{SYMBOLS}', '')))::bigint AS n_symbols,
+    coalesce(dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(n_lines, 0) AS n_lines, coalesce(p, 0) AS n_punctuation, coalesce(s.n, 0) AS n_navigation, coalesce(b, 0) AS n_boilerplate
+  FROM d LEFT JOIN c USING (rid) LEFT JOIN s USING (rid)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost::double / word_chars <= 0.3::double AS kept, n_lines, n_punctuation, n_navigation, n_boilerplate FROM f"""
+
+
+ORACLE = {"op3_line_quality": _oracle()}

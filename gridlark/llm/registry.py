@@ -19,4 +19,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {**mixing.ORACLE, **tool_calls.ORACLE, **url_filter.ORACLE}
+ORACLE: dict[str, str] = {**line_quality.ORACLE, **mixing.ORACLE, **near_dup.ORACLE, **tool_calls.ORACLE, **url_filter.ORACLE}
