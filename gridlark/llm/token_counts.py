@@ -48,23 +48,27 @@ def count_tokens(docs: DataFrame, text: str = "text", carry: list[str] | None =
     return docs.select(*carry, docs[text].alias("_text")).mapInArrow(run, schema)
 
 
+#: What a log holds: the value of a document and version after a batch.
+LOG = "doc_id long, version string, gone boolean, n_tokens long, source string, lang string, number long"
+
+
 class TokenRollup:
     """Additive totals of documents and tokens by source, language and tokenizer version.
 
-    A batch of events changes a ledger (the current count of each document and
-    version) and leaves its signed deltas, summed by key. Totals are the sum of
-    the deltas of committed batches, so a read is one small aggregation and a
-    batch never rescans the corpus. All files lie under ``path`` in a shared
-    folder: ``ledger/<batch>`` and ``deltas/<batch>`` are written first, then
-    one row in ``commits``, which names them. What a lost job has written
-    without a commit is never read; the batch is simply applied again. A batch
-    whose id is committed already changes nothing.
+    A batch of events looks up the current values of its own documents in the
+    logs of earlier batches, and writes a log of the values it changes and
+    their signed deltas, summed by key: what is written grows with the batch,
+    not with the corpus. Totals are the sum of the deltas of committed
+    batches. All files lie under ``path`` in a shared folder; one row in
+    ``commits`` makes a batch visible. What a lost job has written without a
+    commit is never read, and the batch is simply applied again; a batch whose
+    id is committed already changes nothing. There is one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark = spark
         self.path = path or f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
-        self.schema = "batch string, version_no long, ledger string, deltas string"
+        self.schema = "batch string, number long, base boolean, log string, deltas string"
         if path is None or not self._exists():
             spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{self.path}/commits")
 
@@ -80,16 +84,30 @@ class TokenRollup:
     def commits(self) -> list:
         """Committed batches in order: a row per batch, not per document."""
         found = self.spark.read.schema(self.schema).parquet(f"{self.path}/commits").collect()
-        return sorted(found, key=lambda r: r["version_no"])
+        return sorted(found, key=lambda r: r["number"])
+
+    def _commit(self, batch: str, number: int, base: bool, log: str, deltas: str | None) -> None:
+        self.spark.createDataFrame([(batch, number, base, log, deltas)], self.schema).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+
+    def _logs(self, done: list) -> DataFrame:
+        """The logs since the last compaction, that included."""
+        first = max([0, *(k for k, r in enumerate(done) if r["base"])])
+        paths = [r["log"] for r in done[first:]]
+        return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
+
+    @staticmethod
+    def _latest(logs: DataFrame) -> DataFrame:
+        value = F.struct("gone", "n_tokens", "source", "lang")
+        return logs.groupBy("doc_id", "version").agg(F.max_by(value, "number").alias("old"))
 
     def ledger(self) -> DataFrame:
-        done = self.commits()
-        shape = "doc_id long, source string, lang string, version string, n_tokens long"
-        return self.spark.read.schema(shape).parquet(done[-1]["ledger"]) if done else self.spark.createDataFrame([], shape)
+        """The current value of each document and version."""
+        now = self._latest(self._logs(self.commits())).where("not old.gone")
+        return now.select("doc_id", "old.source", "old.lang", "version", "old.n_tokens")
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens of what the ledger holds now; keys that are back at no documents are left out."""
-        paths = [r["deltas"] for r in self.commits()]
+        paths = [r["deltas"] for r in self.commits() if r["deltas"]]
         shape = "source string, lang string, version string, n_docs long, n_tokens long"
         deltas = self.spark.read.schema(shape).parquet(*paths) if paths else self.spark.createDataFrame([], shape)
         return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
@@ -109,26 +127,35 @@ class TokenRollup:
         done = self.commits()
         if any(r["batch"] == batch for r in done):
             return False
+        number = done[-1]["number"] + 1 if done else 0
         ranked = F.struct((F.col("op") == "delete").alias("gone"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "source", "lang")
-        new = events.where("doc_id is not null and version is not null and op in ('upsert', 'delete')").groupBy("doc_id", "version").agg(F.max(ranked).alias("new"))
-        old = self.ledger().select("doc_id", "version", F.struct("n_tokens", "source", "lang").alias("old"))
-        both = old.join(new, ["doc_id", "version"], "full")
-        stays = F.col("new").isNull()
-        current = F.when(stays, F.col("old")).when(~F.col("new.gone"), F.struct("new.n_tokens", "new.source", "new.lang"))
-        state = both.select("doc_id", "version", "old", current.alias("now"))
+        wanted = events.where("doc_id is not null and version is not null and op in ('upsert', 'delete')")
+        new = table(wanted.groupBy("doc_id", "version").agg(F.max(ranked).alias("new")), "rollup-events")
+        old = self._latest(self._logs(done).join(new.select("doc_id", "version"), ["doc_id", "version"], "left_semi"))
+        both = new.join(old, ["doc_id", "version"], "left")
+        was = F.col("old").isNotNull() & ~F.col("old.gone")
+        changed = both.where((~F.col("new.gone") & ~(was & F.col("old").eqNullSafe(F.col("new")))) | (F.col("new.gone") & F.coalesce(was, F.lit(False))))
         unit = uuid.uuid4().hex
-        ledger, deltas = f"{self.path}/ledger/{unit}", f"{self.path}/deltas/{unit}"
-        state = table(state, "rollup-state")  # one join serves both writes
-        state.where("now is not null").select("doc_id", "now.source", "now.lang", "version", "now.n_tokens").write.parquet(ledger)
-        moved = state.where("not (old <=> now)")
-        minus = moved.where("old is not null").select("old.source", "old.lang", "version", F.lit(-1).alias("n_docs"), (-F.col("old.n_tokens")).alias("n_tokens"))
-        plus = moved.where("now is not null").select("now.source", "now.lang", "version", F.lit(1).alias("n_docs"), F.col("now.n_tokens").alias("n_tokens"))
+        log, deltas = f"{self.path}/log/{unit}", f"{self.path}/deltas/{unit}"
+        changed = changed.select("doc_id", "version", "new", F.when(was, F.col("old")).alias("old"))
+        changed = table(changed, "rollup-changes")  # one join serves both writes
+        changed.select("doc_id", "version", "new.*", F.lit(number).cast("long").alias("number")).write.parquet(log)
+        minus = changed.where("old is not null").select("old.source", "old.lang", "version", F.lit(-1).alias("n_docs"), (-F.col("old.n_tokens")).alias("n_tokens"))
+        plus = changed.where("not new.gone").select("new.source", "new.lang", "version", F.lit(1).alias("n_docs"), F.col("new.n_tokens").alias("n_tokens"))
         # partial sums first: a hot source sends one row per task
         minus.unionByName(plus).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(deltas)
-        number = done[-1]["version_no"] + 1 if done else 0
-        self.spark.createDataFrame([(batch, number, ledger, deltas)], self.schema).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self._commit(batch, number, False, log, deltas)
         return True
 
+    def compact(self) -> None:
+        """Replace the logs so far by one that holds the current values; totals stay as they are."""
+        done = self.commits()
+        if done:
+            number, log = done[-1]["number"] + 1, f"{self.path}/log/{uuid.uuid4().hex}"
+            now = self._latest(self._logs(done)).where("not old.gone")
+            now.select("doc_id", "version", "old.*", F.lit(number).cast("long").alias("number")).write.parquet(log)
+            self._commit(f"compact-{uuid.uuid4().hex}", number, True, log, None)
+
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals of all distinct texts, reached by inserts, revised counts and deletes.

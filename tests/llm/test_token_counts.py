@@ -35,6 +35,10 @@ def test_signed_batches_equal_a_recount(spark):
             docs[s, g, v] += 1
             tokens[s, g, v] += n
         assert before == {k: (docs[k], tokens[k]) for k in docs}
+        assert {(r["doc_id"], r["version"]): (r["source"], r["lang"], r["n_tokens"]) for r in rollup.ledger().collect()} == state
+        if name == "b":
+            rollup.compact()
+            assert totals(rollup) == before
 
 
 def test_uncommitted_files_are_not_read_and_state_is_found_again(spark):
