@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +46,7 @@ class Engine:
             if self.catalogue is None:
                 raise ValueError("the engine has no catalogue")
             where = self.catalogue.collection(self.spark, address.path)
-            opened = self.catalogue.open(self.spark, address.path, names)
+            opened = self.catalogue.open(self.spark, address.path, names, *self._minutes(v, request))
             parts = [Cube.of(df).select(*[n for n in names if where[n] == a]) for a, df in opened.items()]
         elif address.kind == "file":
             parts = [Cube.of(read_files(self.spark, address.path)).select(*names)]
@@ -58,6 +60,15 @@ class Engine:
             out[own] = cube
         return out
 
+    @staticmethod
+    def _minutes(v: Variable, request: Request) -> tuple[float | None, float | None]:
+        """The time range a variable is cut to, in minutes since 1970, to prune files by; open if it is shifted or a point."""
+        bounds = [b for b in request.domains[v.domain].bounds if b.axis == "t"] if v.domain and not v.offset else []
+        if not bounds or bounds[0].system != "values" or bounds[0].is_point:
+            return None, None
+        minutes = [(datetime.fromisoformat(str(x)).replace(tzinfo=timezone.utc)).timestamp() / 60 for x in (bounds[0].start, bounds[0].end)]
+        return minutes[0], minutes[1]
+
     def run(self, spec: str | dict[str, Any] | Request) -> dict[str, list[Cube]]:
         """The results that no other operation uses, by id; several cubes if an operation gives several.
 
@@ -85,8 +96,6 @@ class Engine:
         params = dict(o.params) | ({"result": o.result} if o.result else {})
         if o.op in KEEPS_GROUPBY and o.groupby:
             params["groupby"] = o.groupby
-        import re
-
         for pattern in k.required:
             if not any(re.fullmatch(pattern, p) for p in params):
                 raise ValueError(f"{o.name} needs {pattern}")

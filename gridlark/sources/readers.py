@@ -120,6 +120,14 @@ class Catalogue:
             out[aggregation] = spark.read.parquet(*paths)
         return out
 
+    def listing(self, spark: SparkSession, name: str) -> DataFrame:
+        """A row per variable of a collection: its aggregation, number of files and total size."""
+        rows = []
+        for variable, aggregation in self.collection(spark, name).items():
+            files = [f for f in self.aggregation(spark, aggregation)["F"] if len(f) >= 3]
+            rows.append((variable, aggregation, len(files), sum(int(float(f[1])) for f in files)))
+        return spark.createDataFrame(rows, "variable string, aggregation string, n_files int, n_bytes long")
+
     def write(self, spark: SparkSession, name: str, variables: dict[str, str], options: dict[str, str] | None = None) -> None:
         lines = [f"#{k},{v}" for k, v in (options or {}).items()] + [f"{v},{a}" for v, a in variables.items()]
         spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{name}.csv")

@@ -144,6 +144,10 @@ def test_catalogue_prunes_files(spark, tmp_path):
     engine = Engine(spark, catalogue=catalogue)
     (df,) = engine.frames({"variable": [{"uri": "collection:coll", "name": "tas:v0"}], "operation": [{"name": "cube.ave", "axes": "xyt", "input": "v0"}]}).values()
     assert df.count() == 1
+    spec = {"domain": [{"name": "d", "time": {"start": "1996-03-01", "end": "1996-12-31", "system": "values"}}], "variable": [{"uri": "collection:coll", "name": "tas:v0", "domain": "d"}], "operation": [{"name": "cube.subset", "input": "v0"}]}
+    (df,) = engine.frames(spec).values()
+    assert {p.rsplit("/", 2)[-2][:4] for p in df.inputFiles()} == {"1996"} and df.select("time").distinct().count() == 10
+    assert sorted(map(tuple, catalogue.listing(spark, "coll").collect())) == [("pr", "agg", 7, 7), ("tas", "agg", 7, 7)]
     with pytest.raises(KeyError):
         catalogue.open(spark, "coll", ["hur"])
 
