@@ -1,4 +1,4 @@
-"""Connected components of an edge table, in a logarithmic number of joins."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -9,25 +9,32 @@ from gridlark.llm.common import table
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(v, c): each vertex of ``edges`` (longs, not null) and the smallest vertex it reaches.
+    """(v, c): each vertex of ``edges`` (longs) and the smallest vertex it reaches.
 
-    Each round lets a vertex, and the vertex it points to, take the smallest
-    label over each edge, then follows labels one step further; it ends when
-    no label changes. Labels are written to the shared folder each round; only
-    a count reaches the driver. Hub vertices are pre-aggregated before the
-    shuffle. Self-loops and repeated edges do no harm; no edges, no rows.
+    Each round maps a vertex to its smallest neighbour, and on to the smallest
+    neighbour of that, and replaces the edges by those between different
+    images. All but local minima merge, so that vertices at least halve and
+    the rows joined shrink from round to round. The maps are composed from the
+    last to the first. All tables are in the shared folder; only whether edges
+    are left reaches the driver. Hub vertices are pre-aggregated before the
+    shuffle. Edges with a null, self-loops and repeated edges do no harm; a
+    vertex without an edge to another is not listed.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    e = table(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct(), "cc-edges")
-    labels = table(e.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "cc-labels")
-    while True:
-        seen = e.join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b").join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a")
-        own = seen.select(F.col("a").alias("v"), F.col("cb").alias("c"))
-        parent = seen.select(F.col("ca").alias("v"), F.col("cb").alias("c"))
-        best = own.unionByName(parent).unionByName(labels).groupBy("v").agg(F.min("c").alias("c"))
-        far = best.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        new = table(best.join(far, "c").select("v", F.col("cc").alias("c")), "cc-labels")
-        changed = new.join(labels.select("v", F.col("c").alias("old")), "v").where("c <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    e = table(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    maps = []
+    while e.limit(1).count():
+        near = e.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("least")).select("v", F.least("v", "least").alias("c"))
+        near = table(near, "cc-near")
+        ahead = near.select(F.col("v").alias("c"), F.col("c").alias("next"))
+        step = table(near.join(ahead, "c").select("v", F.col("next").alias("c")), "cc-map")
+        maps.append(step)
+        image = e.join(step.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(step.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
+        e = table(image.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct(), "cc-edges")
+    if not maps:
+        return e.select(F.col("a").alias("v"), F.col("b").alias("c"))
+    labels = maps.pop()
+    while maps:
+        last = labels.select(F.col("v").alias("c"), F.col("c").alias("end"))
+        labels = maps.pop().join(last, "c", "left").select("v", F.coalesce("end", "c").alias("c"))
+    return table(labels, "cc-labels")

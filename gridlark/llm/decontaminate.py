@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import carried, table
+from gridlark.llm.common import carried, slices, table
 
 #: A token is a longest run of letters, digits and underscores, in lower case.
 TOKEN = re.compile(r"\w+")
@@ -165,7 +165,7 @@ def build_indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "t
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             words = [tokens(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string()))], names=["item_id", "text", "words"])
 
@@ -260,7 +260,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry:
     def passed(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sieve = Sieve(Index(*sent.value), threshold)
-            for batch in batches:
+            for batch in slices(batches):
                 hits = [[*(old or []), *(dict(zip(names, h, strict=True)) for h in search(sieve, t, overlap))] for t, old in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(hits, kind)], names=[*carry, "_text", "hits"])
 

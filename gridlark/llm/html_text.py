@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm.common import carried
+from gridlark.llm.common import carried, slices
 
 # Fixed values of HTML: kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -301,7 +301,7 @@ def extract_text(pages: DataFrame, source: str = "html", carry: list[str] | None
     at = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if h is None else render(build_tree(h)) for h in batch.column(at).to_pylist()]
             chars = [len(t or "") for t in texts]
             lines = [t.count("\n") + 1 if t else 0 for t in texts]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import carried
+from gridlark.llm.common import carried, slices
 
 #: n-grams of one to three characters share 2 ** BITS places.
 BITS, ORDERS = 15, (1, 2, 3)
@@ -129,7 +129,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 if (c := gram_counts(t)) is not None:
                     df += c > 0
@@ -176,7 +176,7 @@ def _temperature(held: DataFrame, model: Model) -> float:
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(grid))
-        for batch in batches:
+        for batch in slices(batches):
             for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if (c := gram_counts(t)) is not None:
                     z = model.logits(c)[None, :] / grid[:, None]
@@ -206,7 +206,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             out, scores = [], []
             for t in batch.column(at).to_pylist():
                 c = gram_counts(t) if t and m.langs else None

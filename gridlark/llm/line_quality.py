@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm.common import WORD, carried
+from gridlark.llm.common import WORD, carried, slices
 
 #: Phrases of boilerplate, in lower case; a line with one of them fails.
 BOILERPLATE = [
@@ -128,7 +128,7 @@ def clean_lines(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 4 + [pa.float64(), pa.string()]
-        for batch in batches:
+        for batch in slices(batches):
             made = list(zip(*map(judge, batch.column(at).to_pylist()), strict=True)) or [()] * len(names)
             columns = [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=[*carry, *names])

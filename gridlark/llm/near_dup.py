@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import table
+from gridlark.llm.common import slices, table
 from gridlark.llm.components import connected_components
 
 #: Hash values a sketch retains.
@@ -75,7 +75,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
             digests = [set_digest(s) if len(s) else None for s in sets]
             lows = pa.array([s[:K] for s in sets], pa.list_(pa.int64()))
@@ -118,7 +118,7 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, bits = Shingler(words), sent.value
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.column(2).to_numpy()
             on = np.flatnonzero((bits[at // 32] >> (at % 32).astype(np.uint32)) & 1)
             if len(on):

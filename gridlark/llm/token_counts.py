@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import carried, shared_folder, table, word_count
+from gridlark.llm.common import carried, shared_folder, slices, table, word_count
 
 #: Where the public vocabularies lie unless a caller says otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -40,7 +40,7 @@ def count_tokens(docs: DataFrame, text: str = "text", carry: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
-        for batch in batches:
+        for batch in slices(batches):
             encode = encode or _encoder(vocabulary).encode_ordinary
             counts = [len(encode(t)) if t else 0 for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(counts, pa.int64())], names=[*carry, "n_tokens"])
