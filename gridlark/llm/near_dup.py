@@ -100,6 +100,7 @@ def list_members(reps: DataFrame) -> DataFrame:
     keys = F.when(F.col("n_shingles") <= SMALL_SET, F.array_union(_keys(RUN), _keys(2))).otherwise(_keys(RUN))
     postings = reps.select(F.col("rep").alias("member"), F.explode(keys).alias("key"))
     lists = postings.groupBy("key").agg(F.min("member").alias("hub"), F.max("member").alias("_top")).where("hub < _top").select("key", "hub")
+    lists = table(lists, "nd-lists")  # a join of plain reads, which adaptive execution splits at a hot key
     return postings.join(lists, "key").select("hub", "member").distinct()
 
 
@@ -213,6 +214,7 @@ def group_edges(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     """
     sized = members.join(sets.select("member", (F.octet_length("hashes") / 8).alias("w")), "member")
     groups = sized.groupBy("hub").agg(F.count(F.lit(1)).alias("_n"), F.sum("w").alias("_w")).select("hub", _blocks("_w").alias("n_blocks"))
+    groups = table(groups, "nd-groups")  # so that the join with members is split at a hot hub
     placed = members.join(groups, "hub").withColumn("block", F.pmod(F.xxhash64("member"), F.col("n_blocks")).cast("int"))
     placed = table(placed, "nd-placed")
     # the hub belongs to every block of its group
@@ -227,10 +229,10 @@ def group_edges(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     many = many.join(labels.withColumnRenamed("v", "member"), "member", "left").select("hub", "member", F.coalesce("c", "member").alias("label"))
     many = table(many.join(sets.select("member", (F.octet_length("hashes") / 8).alias("w")), "member"), "nd-many")
     tops = many.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-    many = many.join(tops, "hub").withColumn("core", F.col("label") == F.col("top"))
+    many = table(many.join(table(tops, "nd-tops"), "hub").withColumn("core", F.col("label") == F.col("top")), "nd-cores")
     counts = many.groupBy("hub", "core").agg(F.count(F.lit(1)).alias("_n"), F.sum("w").alias("_w")).withColumn("n", _blocks("_w"))
     counts = counts.groupBy("hub").agg(F.coalesce(F.max(F.when(~F.col("core"), F.col("n"))), F.lit(0)).alias("rest"), F.coalesce(F.max(F.when(F.col("core"), F.col("n"))), F.lit(0)).alias("cores"))
-    many = many.join(counts, "hub").where("rest > 0")
+    many = many.join(table(counts, "nd-counts"), "hub").where("rest > 0")
     # blocks 0 .. rest-1 hold the rest, the others the core; a pair needs one of the rest
     block = F.when(F.col("core"), F.col("rest") + F.pmod(F.xxhash64("member"), F.col("cores"))).otherwise(F.pmod(F.xxhash64("member"), F.col("rest"))).cast("int")
     others = F.when(F.col("core"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("cores") - 1))
