@@ -173,6 +173,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = docs.where("text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
     digest = table(digest, "text-digests")
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = table(first, "text-first")  # a join of plain reads, which adaptive execution splits at a hot text
     repeats = digest.join(first, "digest").where("doc_id <> first").select("doc_id")
     gone = repeats.select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit("byte_bpe_50k").alias("version"), F.lit("delete").alias("op"), F.lit(0).alias("n_tokens"))
     rollup.apply(gone, "3-delete")
