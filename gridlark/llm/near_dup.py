@@ -161,9 +161,11 @@ def _links(sets: list[np.ndarray], labels: np.ndarray | None, num: int, den: int
     """
     sizes = np.array([len(s) for s in sets], np.float32)
     lows = [s[:K] for s in sets]
-    kept = np.array([len(s) for s in lows], np.float32)
+    # up to the smaller of two ends both sketches are whole; one that holds its set has no end
+    ends = np.array([s[K - 1] if len(s) > K else np.iinfo(np.int64).max for s in sets], np.int64)
+    kept = np.array([np.searchsorted(s, ends, side="right") for s in lows], np.float32)
     common = _shared(lows)
-    likely = common >= (num / den - MARGIN) * (kept[:, None] + kept[None, :] - common)
+    likely = common >= (num / den - MARGIN) * (kept + kept.T - common)
     np.fill_diagonal(likely, False)
     if labels is not None:
         likely &= labels[:, None] != labels[None, :]
@@ -250,7 +252,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the K smallest values of one hash function; runs of ``RUN`` neighbouring
     retained values key inverted lists (linked sets share no such run with a
     chance under 1e-6 at 80 %, 1e-8 at 85 %). The lists' members are filtered
-    by the overlap of their sketches over its union and verified on full sets.
+    by the overlap of their sketches over its union, up to the hash where the
+    first of the two ends (a pair just at the threshold is missed with a chance
+    of about 4e-6 at 80 %, 6e-7 at 85 %), and verified on full sets.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable) and
     kept (doc_id = component_id), a row per input row. A text without words,

@@ -90,3 +90,17 @@ def test_very_long_text(spark):
     text = " ".join(f"w{k % 7919}" for k in range(300_000))
     got = near_dup.near_duplicates(spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")).collect()
     assert {r["component_id"] for r in got} == {1}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_truncated_and_appended_copies_at_the_threshold(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for i in range(1000):  # whole texts have 1,200 shingles, their parts just the percentage of these
+        words = [f"w{rng.randrange(100_000)}" for _ in range(1204)]
+        part = words[: 12 * percent + 4] if i % 2 else words[-12 * percent - 4 :]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(part))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = result(near_dup.near_duplicates(df, percent=percent))
+    assert {i: got[i][0] for i in (0, 1)} == {0: 1200, 1: 12 * percent}
+    assert [i for i, (_, component, _) in got.items() if component != i - i % 2] == []
