@@ -34,6 +34,8 @@ CLOSES = {
     "tfoot": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption"}, {"table"}),
 }
 P_CLOSERS = (SPACED | set("address article aside center details dialog div dd dt fieldset figcaption footer form header li main menu nav search section summary".split())) - {"caption"}
+#: Start tags that stay in an open head; any other begins the body.
+IN_HEAD = set("title meta link base style script noscript template".split())
 #: End tags of other elements do not reach beyond these.
 WALLS = {"table", "td", "th", "caption"}
 #: Columns up to this width are aligned; padding a wider one would grow the text.
@@ -85,10 +87,23 @@ def build_tree(source: str) -> Node:
         stack.append(node)
         opened[node.tag] += 1
 
+    def leave_head() -> None:
+        """What cannot stand in a head begins the body, whose start tag may be left out."""
+        if stack[-1].tag == "head":
+            pop_to(len(stack) - 1)
+
+    def text(t: str) -> None:
+        t = html.unescape(t)
+        if BLANKS.sub("", t):
+            leave_head()
+        stack[-1].kids.append(t)
+
     def start(tag: str, rest: str) -> None:
         if tag in ("html", "body"):
             close({"head"}, set())
             return
+        if tag not in IN_HEAD:
+            leave_head()
         if tag in P_CLOSERS:
             close({"p"}, WALLS)
         if tag in CLOSES:
@@ -120,10 +135,10 @@ def build_tree(source: str) -> Node:
     while at < len(source):
         m = TAG.search(source, at)
         if m is None:
-            stack[-1].kids.append(html.unescape(source[at:]))
+            text(source[at:])
             break
         if m.start() > at:
-            stack[-1].kids.append(html.unescape(source[at : m.start()]))
+            text(source[at : m.start()])
         at = m.end()
         slash, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:

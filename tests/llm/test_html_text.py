@@ -40,6 +40,16 @@ def test_odd_pages():
     assert len(text("<p>word " * 20_000).split()) == 20_000
 
 
+def test_head_and_body_tags_may_be_left_out():
+    assert text("<head><title>T</title><p>Hello <b>you</b><p>x") == "Hello you\n\nx"
+    assert text("<!DOCTYPE html><html><head>\n<meta charset=utf-8><title>T</title>\n<style>p{}</style>\nplain text<div>d</div></html>") == "plain text\nd"
+    assert text("<head><title>T</title><link rel=x><script>no</script><base href=y><!-- no --> <h1>H</h1><title>no</title>z") == "H\n\nz"
+    assert text("<head><noscript><img src=x>no</noscript><template><p>no</p></template><title>T</title></head>y") == "y"
+    assert text("<head><title>T</title><body>a</body>") == "a"
+    assert text("<head>&#32;<title>T</title>&amp;") == "&"
+    assert text("<head><head><title>T</title><table><tr><td>a<td>b</table>") == "a | b"
+
+
 def test_round_trip_of_random_pages():
     rng = random.Random(11)
     word = lambda: rng.choice(["alpha", "béta", "g&amp;d", "x", "longer-word"])
