@@ -131,7 +131,7 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user turn t is a call with id ``t``, which depends on the user turn t-2,
     and the assistant turn t+1 is the result of call t. Rows that are neither,
-    or lack a turn, are left out; a call whose t-2 is missing depends on nothing.
+    or lack a turn, are left to ``other_turns``; a call whose t-2 is missing depends on nothing.
     """
     user = messages.where("role = 'user' and turn is not null")
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")), {"ignoreNullFields": "false"})
@@ -140,6 +140,31 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def other_turns(messages: DataFrame) -> DataFrame:
+    """The rows of ``messages`` that no link of ``turns_as_calls`` carries, equal ones as one.
+
+    conv_id, call_id (the turn), level 0, status, n_errors (null), json, n_rows
+    (rows it stands for). Status ``other`` has another role, or no role or turn;
+    ``repeated`` are user rows of a turn besides the one that stands, and
+    further copies of equal rows.
+    """
+    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")), {"ignoreNullFields": "false"})
+    rows = table(messages.groupBy("conv_id", "role", "turn", "text").agg(F.count(F.lit(1)).alias("n")), "turns")
+    linked = F.coalesce(F.col("role").isin("user", "assistant") & F.col("turn").isNotNull(), F.lit(False))
+    others = rows.where(~linked).select("*", F.lit("other").alias("status"), F.col("n").alias("n_rows"))
+    results = rows.where("role = 'assistant' and turn is not null").withColumn("n_rows", F.col("n") - 1)
+    # user rows without a conv_id are all linked with nothing, each as a row
+    users = rows.where("role = 'user' and turn is not null and conv_id is not null").withColumn("_arguments", arguments)
+    several = users.groupBy("conv_id", "turn").agg(F.min("_arguments").alias("_stands"), F.max("_arguments").alias("_last")).where("_stands < _last").drop("_last")
+    users = users.join(table(several, "turns-several"), ["conv_id", "turn"], "left")
+    stands = F.col("_arguments") == F.coalesce("_stands", "_arguments")
+    users = users.withColumn("n_rows", F.col("n") - stands.cast("long")).select(*results.columns)
+    repeated = results.unionByName(users).where("n_rows > 0").withColumn("status", F.lit("repeated"))
+    out = others.unionByName(repeated).withColumn("level", F.lit(0).cast("long"))
+    json = F.to_json(F.struct("conv_id", "level", "role", "status", "text", "turn"), {"ignoreNullFields": "false"})
+    return out.select("conv_id", F.col("turn").cast("string").alias("call_id"), "level", "status", F.lit(None).cast("int").alias("n_errors"), json.alias("json"), "n_rows")
+
+
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's user turns linked with the assistant's answers."""
     calls, results = turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -147,6 +172,12 @@ def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "call_id", "level", "status", F.size("errors").alias("n_errors"), "json")
 
 
+def op4_all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``op4_tool_calls``, and all turns that these leave out."""
+    links = op4_tool_calls(spark, sf_dir).withColumn("n_rows", F.lit(None).cast("long"))
+    return links.unionByName(other_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def _oracle() -> str:
     """Chains of user turns are runs of turn / 2 within a conversation and parity."""
     quoted = lambda x: f"coalesce(to_json({x})::varchar, 'null')"
@@ -172,4 +203,25 @@ SELECT conv_id, call_id, level, status,
 FROM b"""
 
 
-ORACLE = {"op4_tool_calls": _oracle()}
+def _oracle_all() -> str:
+    """The links, then rows of other roles, then those beyond the first of a turn or of equals."""
+    quoted = lambda x: f"coalesce(to_json({x})::varchar, 'null')"
+    return f"""
+WITH links AS ({_oracle()}
+), t AS (
+  SELECT conv_id, role, turn, text, count(*) AS n, coalesce(role IN ('user', 'assistant') AND turn IS NOT NULL, false) AS carried FROM conversations GROUP BY ALL
+), k AS (
+  SELECT *, CASE WHEN role = 'user' THEN row_number() OVER (PARTITION BY role, conv_id, turn ORDER BY {quoted("text")}) ELSE 1 END AS place FROM t WHERE carried
+), o AS (
+  SELECT conv_id, role, turn, text, 'other' AS status, n AS n_rows FROM t WHERE NOT carried
+  UNION ALL
+  SELECT conv_id, role, turn, text, 'repeated', n - (place = 1)::int FROM k WHERE n - (place = 1)::int > 0 AND (role <> 'user' OR conv_id IS NOT NULL)
+)
+SELECT *, NULL::bigint AS n_rows FROM links
+UNION ALL
+SELECT conv_id, turn::varchar, 0, status, NULL::int,
+  '{{"conv_id":' || {quoted("conv_id")} || ',"level":0,"role":' || {quoted("role")} || ',"status":"' || status || '","text":' || {quoted("text")} || ',"turn":' || {quoted("turn")} || '}}', n_rows
+FROM o"""
+
+
+ORACLE = {"op4_tool_calls": _oracle(), "op4_all_turns": _oracle_all()}

@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 
 from gridlark.llm import tool_calls as tc
 
@@ -74,3 +75,23 @@ def test_empty_tables_and_long_texts(spark):
     long = "x" * 300_000
     (row,) = link(spark, [(1, "a", None, "reply", json.dumps({"prompt": long, "turn": 3}))], [(1, "a", long)])
     assert json.loads(row["json"])["arguments"]["prompt"] == long and row["errors"] == []
+
+
+def test_every_turn_is_carried(spark, tmp_path):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", None), (1, 4, "assistant", None)]
+    rows += [(1, 1, "user", "a2"), (1, 1, "user", "a2"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 2, "assistant", "b2"), (1, 7, "user", "alone")]
+    rows += [(2, None, "user", "x"), (2, 1, None, "y"), (2, 1, "tool", "z"), (2, 1, "tool", "z"), (2, 9, "assistant", "orphan"), (2, None, None, None)]
+    rows += [(None, 1, "user", "n"), (None, 2, "assistant", "n"), (None, 2, "assistant", "n"), (None, 0, "system", "n")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    linked, others = set(), Counter()
+    for r in tc.op4_all_turns(spark, str(tmp_path)).collect():
+        v = json.loads(r["json"])
+        if r["status"] in ("other", "repeated"):
+            assert r["level"] == 0 and r["n_errors"] is None and r["call_id"] == (None if v["turn"] is None else str(v["turn"]))
+            others[v["conv_id"], v["turn"], v["role"], v["text"]] += r["n_rows"]
+            continue
+        if r["status"] != "orphan":
+            linked.add((v["conv_id"], int(v["call_id"]), "user", v["arguments"]["prompt"]))
+        if r["status"] != "unanswered":
+            linked.add((v["conv_id"], int(v["call_id"]) + 1, "assistant", v["output"]))
+    assert Counter(linked) + others == Counter(rows)
