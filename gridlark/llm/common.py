@@ -36,17 +36,40 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
-def table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a read of it, with its lineage cut."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    path = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
+class Scratch:
+    """Tables that one run needs only until its result is written.
+
+    They lie in a folder of their own below the shared one, which is deleted at
+    the end of the ``with`` block; what is returned from it must be a ``table``.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        return table(df, name, self.folder)
+
+    def __exit__(self, *_: object) -> None:
+        delete_folder(self.spark, self.folder)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies; no error if it is not there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches, so that a task holds few texts as Python objects at a time."""
     for batch in batches:

@@ -104,3 +104,41 @@ def test_truncated_and_appended_copies_at_the_threshold(spark, percent):
     got = result(near_dup.near_duplicates(df, percent=percent))
     assert {i: got[i][0] for i in (0, 1)} == {0: 1200, 1: 12 * percent}
     assert [i for i, (_, component, _) in got.items() if component != i - i % 2] == []
+
+
+def test_one_id_that_names_several_classes(spark):
+    """Rows 1 have two unlike texts, and are the first of both: near copies of either are theirs."""
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    near = lambda w: " ".join([*w[:59], "new"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, "c d e")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_cut_extended_and_changed_copies_beside_a_common_passage(spark, monkeypatch, percent):
+    """Recall is whole where every text shares a passage that makes up most of some texts, in blocks of a few rows."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 16)
+    rng = random.Random(percent)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for _ in range(120):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([10, 25, 60, 300]))]
+        base = base[: len(base) // 2] + passage + base[len(base) // 2 :]
+        cut = base[: -(-len(base) * percent // 100) + rng.randrange(-3, 4)]
+        extended = base + [f"x{rng.randrange(99)}" for _ in range(len(base) * (100 - percent) // percent + rng.randrange(-2, 3))]
+        changed = list(base)
+        for _ in range(rng.randrange(4)):
+            changed[rng.randrange(len(base))] = f"y{rng.randrange(99)}"
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate((base, cut, extended, changed))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(near_dup.near_duplicates(df, percent=percent)) == brute(rows, 5, percent)
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = {f for f in os.listdir(folder) if f.startswith("scratch-")}
+    near_dup.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")).count()
+    assert {f for f in os.listdir(folder) if f.startswith("scratch-")} <= before
