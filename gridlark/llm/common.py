@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,24 +105,43 @@ def carried(df: DataFrame, carry: list[str], made: list[str]) -> list[str]:
     return carry
 
 
-def running_totals(df: DataFrame, order: list[str], sums: dict[str, str], name: str = "ranked") -> DataFrame:
+def running_totals(df: DataFrame, order: list[str], sums: dict[str, str], name: str = "ranked", folder: str | None = None) -> DataFrame:
     """Global running totals without one task that sees all rows.
 
     Range-partition by ``order``, sum within each partition, then add what the
     partitions before it hold (one row per partition). ``sums`` maps a new
     column to the non-null numeric column it totals, own row included; ``rank`` (from 0)
     is added. Rows equal in all of ``order`` are in any order among themselves.
-    The partitioned rows are written once, so partition ids cannot change
+    The window within partitions is a second exchange, so this is for tables of
+    groups, not of documents. The partitioned rows are written once, so partition ids cannot change
     between the two passes. An empty input gives an empty result.
     """
-    from pyspark.sql import Window
-
     parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = parts.withColumns({f"_l_{k}": F.sum(v).over(inner) for k, v in sums.items()} | {"_l_rank": F.row_number().over(inner).cast("long")})
-    local = table(local, name)
+    local = table(local, name, folder)
     each = local.groupBy("_part").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()], F.count(F.lit(1)).alias("_t_rank"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition, not per input row
     offsets = each.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in [*sums, "rank"]])
     out = local.join(offsets, "_part")
     return out.select(*df.columns, *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums], (F.col("_l_rank") + F.col("_o_rank") - 1).alias("rank"))
+
+
+def positions(df: DataFrame, key: str, order: list[str], made: str, name: str = "placed", folder: str | None = None) -> DataFrame:
+    """``df`` and ``made``, the place (gapless from 0) of each row within its ``key``, by ``order``.
+
+    Rows are range-partitioned by key and order and sorted, so that a hot key
+    goes over many tasks; a row's number within its partition, less where its
+    key begins there, plus what the partitions before hold of the key, is its
+    place. Documents are exchanged once. The last criterion, beyond ``order``,
+    is the row's place in the input: many equal rows do not fall into one
+    partition. Null keys are one key.
+    """
+    tie = df.withColumn("_tie", F.monotonically_increasing_id())
+    parts = tie.repartitionByRange(key, *order, "_tie").sortWithinPartitions(key, *order, "_tie").drop("_tie")
+    parts = table(parts.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), name, folder)
+    runs = parts.groupBy(F.col("_part").alias("_at"), F.col(key).alias("_key")).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition a key is in
+    runs = runs.select("_at", "_key", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    out = parts.join(runs, (F.col("_part") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key")))
+    return out.select(*df.columns, (F.col("_row") + F.col("_shift")).alias(made))

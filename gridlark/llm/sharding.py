@@ -2,97 +2,153 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import running_totals, table
+from gridlark.llm.common import Scratch, carried, positions, running_totals, table
 
-#: Capacities tried together in one round of the search.
-WAYS = 512
-#: The total is divided into so many cells for look-ups.
+#: Into how many cells the total is divided, and later the parts in doubt.
 CELLS = 1 << 16
 
 
-class _Boundaries:
-    """Where the ordered groups begin and end, as running totals; looks up many places in one job.
+class Ends:
+    """Where groups end, as running totals, in cells: the driver knows the first and the last end in each.
+
+    A place between a cell's first and last end is in doubt. ``refine`` divides
+    such cells again, ``split`` asks for the ends around single places; each is
+    one scan, filtered to the ranges it asks for (the rows are in order, so
+    that files and row groups outside are passed over), and at most about
+    ``CELLS`` rows of three numbers come to the driver, whatever the input.
+    """
 
-    The total is divided into equal cells and a group has a row in each cell it
-    touches (at most ``CELLS`` rows more than groups). A look-up joins a few
-    places with the rows of their cells; just one group contains a place, so
-    its result has a row per place. Rows are sorted, so a scan reads the range it needs.
+    def __init__(self, groups: DataFrame, total: int) -> None:
+        self.groups, self.total = groups, total
+        self.first = self.last = np.zeros(0, np.int64)
+        self._replace(0, 0, self._cells([(1, total)], max(1, -(-total // CELLS))))
+
+    def _cells(self, ranges: list[tuple[int, int]], width: int) -> np.ndarray:
+        """(first, last) of the ends in each cell of that width within each of the ranges."""
+        here = reduce(lambda a, b: a | b, [F.col("end").between(lo, hi) for lo, hi in ranges])
+        part = F.size(F.filter(F.lit([lo for lo, _ in ranges]).cast("array<bigint>"), lambda lo: lo <= F.col("end")))
+        cell = F.floor((F.col("end") - 1) / F.lit(width))
+        found = self.groups.where(here).groupBy(part.alias("part"), cell.alias("cell")).agg(F.min("end").alias("first"), F.max("end").alias("last"))
+        rows = found.select("first", "last").toArrow()
+        out = np.column_stack([rows.column(k).to_numpy() for k in (0, 1)]).astype(np.int64).reshape(-1, 2)
+        return out[np.argsort(out[:, 0])]
+
+    def _replace(self, lo: int, hi: int, cells: np.ndarray) -> None:
+        self.first = np.concatenate([self.first[:lo], cells[:, 0], self.first[hi:]])
+        self.last = np.concatenate([self.last[:lo], cells[:, 1], self.last[hi:]])
+
+    def from_(self, place: int) -> tuple[int, int]:
+        """Between what the smallest end at or above a place lies; 0 for places below 1."""
+        if place <= 0:
+            return 0, 0
+        i = int(np.searchsorted(self.last, place))
+        return (int(self.first[i]),) * 2 if self.first[i] >= place else (place, int(self.last[i]))
+
+    def up_to(self, place: int) -> tuple[int, int]:
+        """Between what the largest end at or below a place lies; 0 if there is none."""
+        i = int(np.searchsorted(self.first, place, side="right")) - 1
+        if i < 0:
+            return 0, 0
+        return (int(self.last[i]),) * 2 if self.last[i] <= place else (int(self.first[i]), place)
+
+    def refine(self, ranges: list[tuple[int, int]]) -> None:
+        """Divide the cells with ends in any of the ranges."""
+        spans: list[list[int]] = []  # cells lo .. hi - 1, apart from each other
+        for a, b in sorted(ranges):
+            lo, hi = int(np.searchsorted(self.last, a)), int(np.searchsorted(self.first, b, side="right"))
+            if lo < hi and (self.first[lo:hi] < self.last[lo:hi]).any():
+                if spans and lo <= spans[-1][1]:
+                    spans[-1][1] = max(hi, spans[-1][1])
+                else:
+                    spans.append([lo, hi])
+        if not spans:
+            return
+        asked = [(int(self.first[lo]), int(self.last[hi - 1])) for lo, hi in spans]
+        width = -(-sum(b - a + 1 for a, b in asked) // CELLS)
+        longest = max(int((self.last[lo:hi] - self.first[lo:hi]).max()) + 1 for lo, hi in spans)
+        cells = self._cells(asked, max(1, min(width, longest // 2)))
+        for (lo, hi), (a, b) in zip(reversed(spans), reversed(asked), strict=True):
+            self._replace(lo, hi, cells[(cells[:, 0] >= a) & (cells[:, 1] <= b)])
+
+    def split(self, places: list[int]) -> None:
+        """Learn the ends around each place that is in doubt."""
+        doubt = sorted({p for p in places if len(set(self.up_to(p))) > 1})
+        if not doubt:
+            return
+        at = [int(np.searchsorted(self.first, p, side="right")) - 1 for p in doubt]
+        here = reduce(lambda a, b: a | b, [F.col("end").between(int(self.first[i]), int(self.last[i])) for i in set(at)])
+        asks = [c for k, p in enumerate(doubt) for c in (F.max(F.when(F.col("end") <= p, F.col("end"))).alias(f"a{k}"), F.min(F.when(F.col("end") > p, F.col("end"))).alias(f"b{k}"))]
+        row = self.groups.where(here).agg(*asks).first()
+        for k in reversed(range(len(doubt))):
+            i = int(np.searchsorted(self.first, doubt[k], side="right")) - 1
+            self._replace(i, i + 1, np.array([[self.first[i], row[f"a{k}"]], [row[f"b{k}"], self.last[i]]]))
+
+
+def filled(ends: Ends, capacity: int, shards: int, surely: bool) -> list[int] | None:
+    """Where shards begin if each, from the end, takes what the capacity holds; None if they are not enough.
+
+    Ends in doubt are taken where they help most, or, ``surely``, least.
     """
+    out = [ends.total]
+    while out[-1] > 0:
+        begin = ends.from_(out[-1] - capacity)[1 if surely else 0]
+        if len(out) > shards or begin >= out[-1]:
+            return None
+        out.append(begin)
+    return out
 
-    def __init__(self, groups: DataFrame, total: int, widest: int) -> None:
-        self.total, self.widest, self.spark = total, widest, groups.sparkSession
-        self.cell = max(1, -(-total // CELLS))
-        cells = F.sequence(F.floor(F.col("start") / F.lit(self.cell)), F.floor((F.col("end") - 1) / F.lit(self.cell)))
-        rows = groups.select("start", "end", F.explode(cells).alias("cell"))
-        self.rows = table(rows.repartitionByRange("start").sortWithinPartitions("start"), "shard-cells")
-
-    def around(self, places: list[int]) -> dict[int, tuple[int, int]]:
-        """Begin and end of the group that contains each place (from 0, below the total)."""
-        wanted = sorted(set(places))
-        if not wanted:
-            return {}
-        tried = self.spark.sql("SELECT * FROM VALUES " + ", ".join(f"({p}L, {p // self.cell}L)" for p in wanted) + " AS v(place, at)")
-        near = self.rows.where((F.col("start") <= wanted[-1]) & (F.col("end") > wanted[0]))
-        # the places are a literal list of at most WAYS (or shards) rows
-        found = near.join(F.broadcast(tried), (F.col("cell") == F.col("at")) & (F.col("start") <= F.col("place")) & (F.col("end") > F.col("place")))
-        return {r["place"]: (r["start"], r["end"]) for r in found.select("place", "start", "end").collect()}
-
-    def last_up_to(self, places: list[int]) -> list[int]:
-        """For each place the largest boundary that is not above it."""
-        found = self.around([p for p in places if 0 < p < self.total])
-        return [found[p][0] if p in found else max(0, min(p, self.total)) for p in places]
-
-    def first_from(self, places: list[int]) -> list[int]:
-        """For each place the smallest boundary that is not below it."""
-        found = self.around([p - 1 for p in places if 0 < p < self.total])
-        return [found[p - 1][1] if p - 1 in found else max(0, min(p, self.total)) for p in places]
-
-
-def smallest_capacity(b: _Boundaries, shards: int) -> tuple[int, list[int]]:
+
+def smallest_capacity(ends: Ends, shards: int, widest: int) -> tuple[int, list[int]]:
     """The smallest capacity with which greedy filling, from the end, needs at most ``shards`` shards.
 
-    The search narrows a range of capacities, checking up to ``WAYS`` of them
-    side by side in a round: log R / log WAYS rounds of at most ``shards``
-    look-ups for a range R. Also returns the boundary each shard but the last must reach.
+    Two binary searches, on the driver, find from which capacity on the known
+    cells allow enough shards and from which on they surely do; the cells that
+    the fillings between these two can end in are divided, until the two are
+    one. Also returns the end each shard but the last must reach.
     """
-    total = b.total
-
-    def filled(tries: list[int]) -> list[list[int] | None]:
-        """For each capacity the begins of its shards, from the end; None if they are not enough."""
-        paths = [[total] for _ in tries]
-        for _ in range(shards):
-            going = [i for i, p in enumerate(paths) if p[-1] > 0]
-            if not going:
-                break
-            for i, x in zip(going, b.first_from([paths[i][-1] - tries[i] for i in going]), strict=True):
-                paths[i].append(x)
-        return [p if p[-1] == 0 else None for p in paths]
-
-    low = max(b.widest, -(-total // shards)) - 1  # too small
-    high, best = -(-total // shards) + b.widest, None  # large enough
-    while high - low > 1 or best is None:
-        step = max(1, -(-(high - low) // WAYS))
-        tries = [*range(low + step, high, step), high]
-        paths = filled(tries)
-        first = next(i for i, p in enumerate(paths) if p)
-        low, high, best = (tries[first - 1] if first else low), tries[first], paths[first]
-    return high, [0] * (shards + 1 - len(best)) + best[::-1]
-
-
-def cut_points(b: _Boundaries, shards: int, capacity: int, least: list[int]) -> list[int]:
-    """Where each shard ends: at the boundary nearest below its even share, as the capacity allows.
+
+    def search(low: int, high: int, surely: bool) -> int:
+        """The smallest capacity above ``low`` that fits, given that ``high`` does."""
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if filled(ends, mid, shards, surely) else (mid, high)
+        return high
+
+    low = max(widest, -(-ends.total // shards)) - 1  # too small
+    while True:
+        top = -(-ends.total // shards) + widest  # fits, but perhaps not surely
+        while not filled(ends, top, shards, True):
+            top = min(2 * top, ends.total)
+        high = search(low, top, True)
+        low = search(low, high, False) - 1
+        best, worst = filled(ends, high, shards, False), filled(ends, low + 1, shards, True)
+        if high == low + 1 and best == worst:
+            return high, [0] * (shards + 1 - len(best)) + best[::-1]
+        worst = worst or [ends.total] * len(best)  # nothing is known of it
+        worst += [0] * (len(best) - len(worst))
+        ends.refine([(best[k], worst[k]) for k in range(1, len(best))])
+
+
+def cut_points(ends: Ends, shards: int, capacity: int, least: list[int]) -> list[int]:
+    """Where each shard ends: at the end nearest below its even share, as the capacity allows.
 
     ``least`` are the cuts of greedy filling from the end: a cut at or after
     them leaves no more than the later shards can hold.
     """
-    even, cuts, at = b.last_up_to([b.total * (j + 1) // shards for j in range(shards)]), [], 0
+    even = [ends.total * (j + 1) // shards for j in range(shards)]
+    ends.split(even)
+    cuts, at = [], 0
     for j in range(shards):
-        cut = max(even[j], least[j + 1], at)
+        cut = max(ends.up_to(even[j])[0], least[j + 1], at)
         if cut - at > capacity:
-            cut = b.last_up_to([at + capacity])[0]
+            ends.split([at + capacity])
+            cut = ends.up_to(at + capacity)[0]
         cuts.append(cut)
         at = cut
     return cuts
@@ -103,31 +159,37 @@ def shard_groups(docs: DataFrame, shards: int, size: Column, group: Column, keep
 
     Groups are ordered by ``group`` (not null), documents within by ``doc_id``;
     sizes are not null, and below 1 count as 1 in the balance.
-    The largest shard is as small as the atomic groups allow. Only sums, the
-    trial capacities and the cuts reach the driver: their number does not
-    depend on the input. A hot group is spread over range partitions by
-    ``doc_id``; no join and no task holds a group or a shard.
+    The largest shard is as small as the atomic groups allow. The groups'
+    running totals are made over the table of groups; bounded summaries of
+    them (see ``Ends``), the cuts and the groups at the cuts reach the driver.
+    A document finds its shard by comparing its group with those at the cuts:
+    no join, and no task holds a group or a shard, as documents are spread over range partitions.
 
     Returns the columns ``keep`` and size, shard (0 .. shards-1) and slot (gapless from 0 in
     each shard). Null doc_ids come first; repeated rows get slots of their
     own. Later shards may be empty if there are fewer groups than shards; an
-    empty input gives an empty result.
+    empty input gives an empty result. Texts are read once, whatever their length.
+    Columns to keep may not be called size, shard or slot; others may.
     """
-    base = docs.select(*keep, docs[doc_id].alias("_order"), group.alias("_group"), size.cast("long").alias("size"))
-    base = base.withColumn("_weight", F.greatest("size", F.lit(1)))
-    ranked = table(running_totals(base, ["_group", "_order"], {"_end": "_weight"}, "shard-ranked"), "shard-docs")
-    groups = ranked.groupBy("_group").agg(F.max("_end").alias("end"), F.sum("_weight").alias("bytes"))
-    groups = table(groups.select((F.col("end") - F.col("bytes")).alias("start"), "end"), "shard-groups")
-    total, widest = groups.agg(F.max("end"), F.max(F.col("end") - F.col("start"))).first()
-    if not total:  # no rows
-        return ranked.select(*keep, "size", F.lit(0).alias("shard"), F.col("rank").alias("slot"))
-    b = _Boundaries(groups, total, widest)
-    begins = [0, *cut_points(b, shards, *smallest_capacity(b, shards))[:-1]]
-    before = list(ranked.agg(*[F.count(F.when((F.col("_end") <= c) & F.lit(c > 0), 1)).alias(f"c{j}") for j, c in enumerate(begins)]).first())
-    # a row is in the last shard that begins below its end
-    where = F.size(F.filter(F.lit(begins).cast("array<bigint>"), lambda c: c < F.col("_end"))) - 1
-    out = ranked.withColumn("shard", where)
-    return out.select(*keep, "size", "shard", (F.col("rank") - F.element_at(F.lit(before).cast("array<bigint>"), F.col("shard") + 1)).alias("slot"))
+    kept = {f"_k{i}": F.col(c) for i, c in enumerate(carried(docs, keep, ["size", "shard", "slot"]))}
+    base = docs.select(*[c.alias(k) for k, c in kept.items()], docs[doc_id].alias("_order"), group.alias("_group"), size.cast("long").alias("_size"))
+    with Scratch(docs.sparkSession) as scratch:
+        base = scratch.table(base, "documents")
+        groups = base.groupBy("_group").agg(F.sum(F.greatest("_size", F.lit(1))).alias("bytes"))
+        groups = running_totals(groups, ["_group"], {"end": "bytes"}, "ranked", scratch.folder).select("_group", "bytes", "end")
+        groups = scratch.table(groups, "groups")
+        total, widest = groups.agg(F.max("end"), F.max("bytes")).first()
+        shard = F.lit(0)
+        if total:
+            ends = Ends(groups, total)
+            cuts = cut_points(ends, shards, *smallest_capacity(ends, shards, widest))[:-1]
+            at = {r["end"]: r["_group"] for r in groups.where(F.col("end").isin(sorted(set(cuts)))).select("end", "_group").collect()}  # a row per cut
+            begun = [at[c] for c in cuts if c]
+            shard = F.lit(shards - 1 - len(begun))  # shards whose begin is 0, less one
+            if begun:
+                shard = shard + F.size(F.filter(F.array(*map(F.lit, begun)), lambda g: g < F.col("_group")))
+        out = positions(base.withColumn("_shard", shard), "_shard", ["_group", "_order"], "_slot", folder=scratch.folder)
+        return table(out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], F.col("_size").alias("size"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot")), "sharded")
 
 
 def text_size(text: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.llm import mixing, sharding
-from gridlark.llm.common import running_totals, word_count
+from gridlark.llm.common import positions, running_totals, word_count
 
 
 def test_word_count_equals_brute_force(spark):
@@ -81,13 +81,12 @@ def smallest(groups, shards):
     return c
 
 
-@pytest.mark.parametrize("seed,shards,ways", [(1, 5, 512), (2, 12, 3), (3, 40, 4)])
-def test_shards_are_minimax_and_whole(spark, monkeypatch, seed, shards, ways):
-    monkeypatch.setattr(sharding, "WAYS", ways)
-    monkeypatch.setattr(sharding, "CELLS", 64)
+@pytest.mark.parametrize("seed,shards,cells", [(1, 5, 1 << 16), (2, 12, 16), (3, 40, 8), (4, 7, 4)])
+def test_shards_are_minimax_and_whole(spark, monkeypatch, seed, shards, cells):
+    monkeypatch.setattr(sharding, "CELLS", cells)
     rng = random.Random(seed)
     rows = [(i, f"g{rng.randrange(30):02d}", rng.choice([1, 2, 3, 50, 0])) for i in range(120)] + [(None, "g99", 4), (7, "g99", 4), (7, "g99", 4)]
-    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, g string, n long, shard string, rank string")
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, g string, n long, shard string, slot string")
     out = sharding.shard_groups(df, shards, F.col("n"), F.col("g"), ["doc_id", "g"]).collect()
     assert len(out) == len(rows)
     sizes, place, slots, full = defaultdict(int), defaultdict(set), defaultdict(list), defaultdict(int)
@@ -126,3 +125,21 @@ def test_running_totals(spark):
         total += v
         want.append((k, i, v, total, n))
     assert sorted(map(tuple, running_totals(df, ["k", "i"], {"s": "v"}).collect())) == want
+
+
+def test_positions_are_gapless_in_each_key(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.randrange(20)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k int, i int").repartition(5)
+    got = defaultdict(list)
+    for r in positions(df, "k", ["i"], "at").collect():
+        got[r["k"]].append((r["at"], r["i"]))
+    for k, found in got.items():
+        assert sorted(found) == list(enumerate(sorted(i for kk, i in rows if kk == k)))
+
+
+def test_columns_called_like_results(spark):
+    df = spark.createDataFrame([(1, "a", 7), (2, "b", 8)], "doc_id long, g string, slot int")
+    assert sorted(map(tuple, sharding.shard_groups(df, 2, F.lit(1), F.col("g"), ["doc_id"]).collect())) == [(1, 1, 0, 0), (2, 1, 1, 0)]
+    with pytest.raises(ValueError, match="clash"):
+        sharding.shard_groups(df, 2, F.lit(1), F.col("g"), ["slot"])
