@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from gridlark.llm.common import carried, slices
 # Fixed values of HTML: kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style iframe noembed noframes xmp title textarea".split())
-INVISIBLE = set("head script style template noscript iframe noembed noframes title meta link base object audio video canvas svg datalist".split())
+INVISIBLE = set("head script style template noscript iframe noembed noframes title meta link base object audio video canvas datalist".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Blocks with a blank line around them, and those on lines of their own.
 SPACED = HEADINGS | set("p ul ol dl table blockquote pre figure hr".split())
@@ -38,12 +39,13 @@ P_CLOSERS = (SPACED | set("address article aside center details dialog div dd dt
 IN_HEAD = set("title meta link base style script noscript template".split())
 #: End tags of other elements do not reach beyond these.
 WALLS = {"table", "td", "th", "caption"}
-#: Columns up to this width are aligned; padding a wider one would grow the text.
-ALIGNED = 60
+#: Fixed values of HTML: the most columns, and rows, that a cell spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
+VISIBILITY = re.compile(r"(?:^|;)visibility:(hidden|collapse|visible)")
 
 
 class Node:
@@ -158,12 +160,28 @@ def build_tree(source: str) -> Node:
 
 
 def hidden(node: Node) -> bool:
-    if node.tag in INVISIBLE:
+    """Whether nothing of an element is displayed, whatever its parts say."""
+    if node.tag in INVISIBLE or node.tag == "dialog" and "open" not in node.attrs:
         return True
     if not node.attrs:
         return False
     style = node.attrs.get("style", "").lower().replace(" ", "")
-    return "hidden" in node.attrs or "display:none" in style or "visibility:hidden" in style or node.tag == "input"
+    return "hidden" in node.attrs or "display:none" in style or node.tag == "input"
+
+
+def visibility(node: Node, inherited: bool) -> bool:
+    """Whether the texts of an element are seen; its parts inherit that and may say otherwise."""
+    if "style" not in node.attrs:
+        return inherited
+    said = VISIBILITY.findall(re.sub(r"\s", "", node.attrs["style"].lower()))
+    return said[-1] == "visible" if said else inherited
+
+
+def displayed(node: Node) -> list[Node | str]:
+    """The parts of an element that can be seen: of closed details, the first summary."""
+    if node.tag == "details" and "open" not in node.attrs:
+        return [k for k in node.kids if not isinstance(k, str) and k.tag == "summary"][:1]
+    return node.kids
 
 
 class Sheet:
@@ -213,38 +231,61 @@ class Sheet:
         return self.lines
 
 
-def _table(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """Rows of cells with aligned columns; a cell is (span, lines)."""
-    widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for span, lines in row:
-            wide = max(map(len, lines), default=0)
-            if span == 1 and wide <= ALIGNED:
-                widths[at] = max(widths.get(at, 0), wide)
-            at += span
+def _span(node: Node, name: str, most: int) -> int:
+    """A span of rows or columns; 0 is to the end, what is no number 1."""
+    text = node.attrs.get(name, "1").strip()
+    return min(most, int(text)) if text.isdecimal() and text.isascii() else 1
+
+
+def _table(rows: list[list[tuple[int, int, list[str]]]], widest: int | None) -> list[str]:
+    """Rows of cells with aligned columns; a cell is (columns, rows, lines).
+
+    A cell that reaches down keeps its columns free in the rows below; one over
+    several columns is as wide as these. Columns in which no cell begins do not count.
+    """
+    until: dict[int, int] = {}  # the row from which on a column is free again
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    for r, row in enumerate(rows):
+        at, cells = 0, []
+        for across, down, lines in row:
+            while until.get(at, 0) > r:
+                at += 1
+            cells.append((at, at + across, lines))
+            if down != 1:
+                until.update(dict.fromkeys(range(at, at + across), r + down if down else len(rows)))
+            at += across
+        placed.append(cells)
+    begins = sorted({at for cells in placed for at, _, _ in cells})
+    placed = [[(bisect_left(begins, at), bisect_left(begins, end), lines) for at, end, lines in cells] for cells in placed]
+    widths = [0] * len(begins)
+    for at, end, lines in sorted((c for cells in placed for c in cells), key=lambda c: c[1] - c[0]):
+        wide = max(map(len, lines), default=0)
+        if widest is None or wide <= widest:
+            widths[end - 1] += max(0, wide - sum(widths[at:end]) - 3 * (end - at - 1))
     out = []
-    for row in rows:
-        height = max((len(lines) for _, lines in row), default=0)
-        for k in range(height):
-            cells, at = [], 0
-            for span, lines in row:
-                cells.append((lines[k] if k < len(lines) else "").ljust(widths.get(at, 0)))
-                at += span
-            out.append(" | ".join(cells).rstrip())
+    for cells in placed:
+        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
+            parts, column = [], 0
+            for at, end, lines in cells:
+                parts += [" " * w for w in widths[column:at]]
+                parts.append((lines[k] if k < len(lines) else "").ljust(sum(widths[at:end]) + 3 * (end - at - 1)))
+                column = end
+            out.append(" | ".join(parts).rstrip())
     return out
 
 
-def render(root: Node) -> str:
+def render(root: Node, widest: int | None = None) -> str:
     """All visible text: blank lines between spaced blocks, list marks, aligned cells."""
     sheets, tables, lists = [Sheet()], [], []
+    seen, drawn = [True], []  # visibility of the open elements; of open drawings, whether in a text
     pre = 0
     steps: list[tuple[Node | str, bool]] = [(root, False)]
     while steps:  # no recursion: pages nest as deep as they like
         node, leaving = steps.pop()
         sheet = sheets[-1]
         if isinstance(node, str):
-            sheet.text(node, keep=pre > 0)
+            if seen[-1] and (not drawn or drawn[-1]):
+                sheet.text(node, keep=pre > 0)
             continue
         tag = node.tag
         if not leaving:
@@ -253,6 +294,10 @@ def render(root: Node) -> str:
             if tag == "br":
                 sheet.flush(force=True)
                 continue
+            seen.append(visibility(node, seen[-1]))
+            if tag in ("svg", "foreignobject") or drawn and tag == "text":
+                sheet.block(False)  # a text of a drawing stands alone
+                drawn.append(tag != "svg")
             if tag in BLOCKS:
                 sheet.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
             if tag in ("ul", "ol", "menu"):
@@ -261,7 +306,8 @@ def render(root: Node) -> str:
             elif tag == "li":
                 kind = lists[-1] if lists else ["ul", 1]
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
-                sheet.lead = (sheet.indent[-1] if sheet.lead is None else sheet.lead) + mark
+                if seen[-1]:
+                    sheet.lead = (sheet.indent[-1] if sheet.lead is None else sheet.lead) + mark
                 sheet.indent.append(sheet.indent[-1] + " " * len(mark))
                 kind[1] += 1
             elif tag == "pre":
@@ -273,21 +319,24 @@ def render(root: Node) -> str:
             elif tag in ("td", "th") and tables:
                 sheets.append(Sheet())
             steps.append((node, True))
-            steps.extend((kid, False) for kid in reversed(node.kids))
+            steps.extend((kid, False) for kid in reversed(displayed(node)))
             continue
+        seen.pop()
+        if tag in ("svg", "foreignobject") or drawn and tag == "text":
+            sheet.block(False)
+            drawn.pop()
         if tag in ("ul", "ol", "menu"):
             lists.pop()
         elif tag == "pre":
             pre -= 1
         elif tag in ("td", "th") and tables:
             lines = sheets.pop().done()
-            span = node.attrs.get("colspan", "1")
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((min(1000, max(1, int(span))) if span.isdecimal() and span.isascii() else 1, lines))
+            tables[-1][-1].append((max(1, _span(node, "colspan", MOST_COLUMNS)), _span(node, "rowspan", MOST_ROWS), lines))
             continue
         elif tag == "table":
-            for line in _table(tables.pop()):
+            for line in _table(tables.pop(), widest):
                 sheet.add(line)
                 sheet.flush(force=True)
         elif tag == "li":
@@ -299,14 +348,19 @@ def render(root: Node) -> str:
     return "\n".join(sheets[0].done()).strip("\n")
 
 
-def extract_text(pages: DataFrame, source: str = "html", carry: list[str] | None = None) -> DataFrame:
+def extract_text(pages: DataFrame, source: str = "html", carry: list[str] | None = None, widest: int | None = None) -> DataFrame:
     """The carried columns (default page_id) and text, n_chars, n_lines of each whole page.
 
-    Visible are the texts outside scripts, styles, the head, templates and
-    elements hidden by attribute or style. Paragraphs, headings, lists and
+    Visible are the texts outside scripts, styles, the head, templates, closed
+    dialogs, the bodies of closed details, and elements hidden by attribute or
+    style (of what ``visibility`` hides, parts may be visible again); of
+    drawings, the texts. Paragraphs, headings, lists and
     tables stand between blank lines, other blocks on lines of their own; list
     items have marks or numbers and are indented by nesting; the cells of a
-    table's column are aligned. White space collapses but in ``pre``. A null
+    table's column are aligned to the widest, over row and column spans. That
+    pads a column's other rows to its widest cell, so that a page's text may grow to
+    rows times that width; ``widest`` leaves columns with a wider cell unpadded
+    by it (default: align all). White space collapses but in ``pre``. A null
     page has a null text with 0 characters; an empty one an empty text; repeated rows give
     repeated results. Pages are read whole, in memory that grows with the page.
     """
@@ -317,7 +371,7 @@ def extract_text(pages: DataFrame, source: str = "html", carry: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [None if h is None else render(build_tree(h)) for h in batch.column(at).to_pylist()]
+            texts = [None if h is None else render(build_tree(h), widest) for h in batch.column(at).to_pylist()]
             chars = [len(t or "") for t in texts]
             lines = [t.count("\n") + 1 if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), pa.array(chars, pa.int64()), pa.array(lines, pa.int64())], names=[*carry, *made])
