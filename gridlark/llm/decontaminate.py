@@ -19,9 +19,12 @@ TOKEN = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 #: Neighbouring items, in order of length, that share a block: a term has a maximum in each.
 BLOCK = 4
-#: Most postings of an index shard; a larger benchmark is searched shard by shard.
+#: Most postings of the indexes in one pass; a larger benchmark is searched pass by pass.
 SHARD_POSTINGS = 2_000_000
-#: Words of the n-grams by which overlap is verified (fewer if a part is shorter).
+#: Items up to so many tokens share an index, those up to 4 times as many the next, and so on:
+#: passages are as long as the items of an index ask for.
+SHORT_ITEM = 64
+#: Most words of the n-grams by which overlap is verified; shorter parts have shorter ones.
 GRAM = 5
 
 HITS = "array<struct<item_id: bigint, start: int, score: double, question_overlap: double, answer_overlap: double>>"
@@ -43,14 +46,30 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return both[:half], both[half:]
 
 
-def grams(part: list[str]) -> set[tuple[str, ...]]:
-    n = min(GRAM, len(part))
-    return {tuple(part[i : i + n]) for i in range(len(part) - n + 1)} if n else set()
+def part_overlap(part: np.ndarray, passage: list[int]) -> float:
+    """The share of a question or answer that a passage holds; 1 if it is empty.
+
+    Parts are compared by n-grams so short that one changed word leaves 0.8 of
+    them; parts of up to ten words, for which these would be single words, by
+    the longest run of words in order, with others between allowed.
+    """
+    n, size = min(GRAM, (len(part) + 1) // 6), len(part)
+    if not size:
+        return 1.0
+    if n > 1:
+        own = {tuple(part[i : i + n]) for i in range(size - n + 1)}
+        return len(own & set(zip(*(passage[i:] for i in range(n)), strict=False))) / len(own)
+    longest = [0] * (size + 1)  # of the part's first words, with the passage so far
+    for word in passage:
+        before = 0
+        for i, own_word in enumerate(part, 1):
+            before, longest[i] = longest[i], before + 1 if word == own_word else max(longest[i], longest[i - 1])
+    return longest[size] / size
 
 
 @dataclass
 class Index:
-    """An inverted index of one shard; its size is bounded by ``SHARD_POSTINGS``."""
+    """An inverted index of some items; its size is bounded by ``SHARD_POSTINGS``."""
 
     terms: dict[str, int]  # from 1; 0 stands for all other words
     items: list[np.ndarray]  # ordinals of the items of a term, ascending
@@ -59,7 +78,7 @@ class Index:
     tops: list[np.ndarray]  # the largest impact of each of those blocks
     bounds: np.ndarray  # the largest impact of each term
     item_ids: list[int]
-    parts: list[tuple[set, set]]  # n-grams of question and answer
+    parts: list[tuple[np.ndarray, np.ndarray]]  # terms of question and answer, in order
     widest: int  # tokens of the longest item
 
     def wand(self, query: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -155,8 +174,8 @@ class Sieve:
         return np.unique(key[sums >= self.need[key % self.n_blocks] - 1e-9] // self.n_blocks)
 
 
-def build_indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Index]:
-    """Indexes that together hold all items, each of bounded size.
+def build_indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
+    """Indexes that together hold all items, each of bounded size, made one at a time: items of like length, dealt by hash.
 
     Term statistics are counted by Spark over all items. An impact is the BM25
     weight of a term in an item, divided by the sum over the item's terms, so
@@ -174,7 +193,7 @@ def build_indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "t
     items = table(items.withColumn("row", F.monotonically_increasing_id()), "bench-items")
     stats = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("length"), F.sum(F.size("words")).alias("postings")).first()
     if not stats["n"]:
-        return []
+        return
     postings = items.select("row", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("row", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -182,14 +201,21 @@ def build_indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "t
     weighted = postings.join(df, "term").withColumn("weight", weight)
     own = Window.partitionBy("row")  # the terms of one item
     weighted = table(weighted.withColumn("impact", F.col("weight") / F.sum("weight").over(own)).select("row", "term", "impact"), "bench-postings")
-    shards = -(-stats["postings"] // SHARD_POSTINGS)
-    return [_index(items, weighted, F.pmod(F.xxhash64("row"), F.lit(shards)) == k) for k in range(shards)]
-
-
-def _index(items: DataFrame, weighted: DataFrame, mine) -> Index:
-    rows = items.where(mine).orderBy(F.size("words"), "item_id", "text").select("row", "item_id", "text", F.size("words").alias("n")).collect()  # a shard, of bounded size
+    kind = F.greatest(F.ceil(F.log(4.0, F.size("words") / SHORT_ITEM) - 1e-9), F.lit(0))
+    kinds = table(items.select("row", kind.alias("kind"), F.size("words").alias("n")), "bench-kinds")
+    for r in sorted(kinds.groupBy("kind").agg(F.sum("n").alias("n")).collect()):  # a row per power of 4
+        mine = kinds.where(F.col("kind") == r["kind"]).select("row")
+        shards = -(-r["n"] // SHARD_POSTINGS)
+        for k in range(shards):
+            part = mine.where(F.pmod(F.xxhash64("row"), F.lit(shards)) == k)
+            yield _index(items.join(part, "row", "left_semi"), weighted.join(part, "row", "left_semi"))
+
+
+def _index(items: DataFrame, weighted: DataFrame) -> Index:
+    """The index of a shard of items: what it gathers is of bounded size."""
+    rows = items.orderBy(F.size("words"), "item_id", "text").select("row", "item_id", "text", F.size("words").alias("n")).collect()
     ordinal = {r["row"]: k for k, r in enumerate(rows)}
-    found = weighted.where(mine).toPandas()
+    found = weighted.toPandas()
     found["item"] = found["row"].map(ordinal)
     none, zero = np.zeros(0, np.int64), np.zeros(0)
     terms, lists, impacts, blocks, tops = {}, [none], [zero], [none], [zero]
@@ -201,25 +227,31 @@ def _index(items: DataFrame, weighted: DataFrame, mine) -> Index:
         blocks.append(own)
         tops.append(np.maximum.reduceat(impacts[-1], first))
     bounds = np.array([x.max() if len(x) else 0.0 for x in impacts])
-    parts = [tuple(map(grams, question_answer(r["text"]))) for r in rows]
+    parts = [tuple(np.array([terms[w] for w in p], np.int32) for p in question_answer(r["text"])) for r in rows]
     return Index(terms, lists, impacts, blocks, tops, bounds, [r["item_id"] for r in rows], parts, max((r["n"] for r in rows), default=1))
 
 
-def _overlap(part: set, passage: list[str]) -> float:
-    if not part:
-        return 1.0
-    n = len(next(iter(part)))
-    return len(part & set(zip(*(passage[i:] for i in range(n)), strict=False))) / len(part)
+def passes(indexes: Iterator[Index]) -> Iterator[list[Index]]:
+    """Indexes that fit in one pass together."""
+    group, size = [], 0
+    for index in indexes:
+        own = sum(map(len, index.items))
+        if group and size + own > SHARD_POSTINGS:
+            yield group
+            group, size = [], 0
+        group, size = [*group, index], size + own
+    if group:
+        yield group
 
 
-def search(sieve: Sieve, text: str | None, overlap: float) -> list[tuple]:
-    """Verified (item_id, start, score, question overlap, answer overlap) of a whole text, the best passage of each item.
+def search(sieve: Sieve, words: list[str], overlap: float) -> list[tuple]:
+    """Verified (item_id, start, score, question overlap, answer overlap) of a text's words, the best passage of each item.
 
     Passages are windows twice as long as the longest item, each beginning in
     the middle of the one before, so that any run as long as an item lies
     within one.
     """
-    index, threshold, words = sieve.index, sieve.threshold, tokens(text)
+    index, threshold = sieve.index, sieve.threshold
     if not words:
         return []
     half = index.widest
@@ -230,8 +262,8 @@ def search(sieve: Sieve, text: str | None, overlap: float) -> list[tuple]:
         end = min(start + 2 * half, len(words))
         query = [t for t in np.unique(ids[start:end]).tolist() if t]
         for ordinal, score in index.wand(query, threshold - 1e-9):
-            passage = words[start:end]
-            q, a = (_overlap(p, passage) for p in index.parts[ordinal])
+            passage = ids[start:end].tolist()
+            q, a = (part_overlap(p, passage) for p in index.parts[ordinal])
             if q >= overlap and a >= overlap:
                 hit = (index.item_ids[ordinal], start, score, q, a)
                 if ordinal not in best or (score, q + a, -start) > (best[ordinal][2], best[ordinal][3] + best[ordinal][4], -best[ordinal][1]):
@@ -243,15 +275,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry:
     """The carried columns (default doc_id) and ``hits``, the benchmark items each whole text contains.
 
     An item is hit if a passage scores at least ``threshold`` of its BM25
-    weight and has at least ``overlap`` of the n-grams of its question and of
-    its answer. A benchmark too large for one index is searched in shards, one
-    pass after another over the same rows, without a join. A null or empty
+    weight and has at least ``overlap`` of its question and of its answer
+    (``part_overlap``; one changed word in parts of five words or more does
+    not hide an item). A benchmark too large for one pass is searched in several, one
+    after another over the same rows, without a join: one pass's indexes are on
+    the driver and in the workers at a time. A null or empty
     text has no hits, nor has any text if the benchmark is empty; repeated
-    rows give repeated results; ``hits`` is in order of item ids within a shard.
+    rows give repeated results; ``hits`` is in order of item ids. Texts are
+    read whole, however long, one at a time.
     """
     carry = carried(docs, ["doc_id"] if carry is None else carry, ["hits"])
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    indexes = build_indexes(benchmark)
     names = [f.split(":")[0].strip() for f in HITS[len("array<struct<") : -2].split(", ")]
     kind = pa.list_(pa.struct(list(zip(names, [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()], strict=True))))
     out = docs.select(*carry, docs[text].alias("_text"), F.array().cast(HITS).alias("hits"))
@@ -259,18 +293,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry:
 
     def passed(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sieve = Sieve(Index(*sent.value), threshold)
+            sieves = [Sieve(Index(*values), threshold) for values in sent.value]
+
+            def found(text: str | None, old: list | None) -> list:
+                words = tokens(text)
+                return [*(old or []), *(dict(zip(names, h, strict=True)) for sieve in sieves for h in search(sieve, words, overlap))]
+
             for batch in slices(batches):
-                hits = [[*(old or []), *(dict(zip(names, h, strict=True)) for h in search(sieve, t, overlap))] for t, old in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)]
+                hits = list(map(found, batch.column(at).to_pylist(), batch.column(at + 1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(hits, kind)], names=[*carry, "_text", "hits"])
 
         return run
 
-    for index in indexes:
+    sent = None
+    for group in passes(build_indexes(benchmark)):
+        if sent is not None:  # one more: the rows so far are written, and the indexes before are let go
+            out = table(out, "leaks-pass")
+            sent.destroy()
         # of bounded size; plain values, as executors may lack this package
-        sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(index).values()))
+        sent = docs.sparkSession.sparkContext.broadcast([tuple(vars(index).values()) for index in group])
         out = out.mapInArrow(passed(sent), f"{kinds}, _text string, hits {HITS}")
-    return out.drop("_text")
+    return out.select(*carry, F.array_sort("hits").alias("hits"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
