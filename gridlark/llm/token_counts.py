@@ -14,6 +14,8 @@ from gridlark.llm.common import carried, shared_folder, slices, table, word_coun
 
 #: Where the public vocabularies lie unless a caller says otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The versions that the registered query counts by, and their vocabularies.
+VERSIONS = {"byte_bpe_50k": VOCABULARY, "byte_bpe_multi_50k": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
 #: Fixed value: the pattern that cuts a text into pieces for these vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -28,28 +30,33 @@ def _encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(docs: DataFrame, text: str = "text", carry: list[str] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The carried columns (default doc_id) and n_tokens of each whole text; null and empty have 0.
+def count_tokens(docs: DataFrame, text: str = "text", carry: list[str] | None = None, vocabularies: dict[str, str] | None = None) -> DataFrame:
+    """The carried columns (default doc_id), version and n_tokens: a row per whole text and version.
 
-    ``vocabulary`` is a file of ranks that every executor finds at that path.
-    Each task loads it once.
+    ``vocabularies`` maps versions to files of ranks that every executor finds
+    at that path (default: the first of ``VERSIONS``). Each task loads them once and reads each text
+    once. Null and empty texts have 0 tokens; very long ones are counted whole; repeated rows give repeated results.
     """
-    carry = carried(docs, ["doc_id"] if carry is None else carry, ["n_tokens"])
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry] + ["n_tokens long"])
+    carry = carried(docs, ["doc_id"] if carry is None else carry, ["version", "n_tokens"])
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry] + ["version string, n_tokens long"])
     at = len(carry)
+    vocabularies = dict([next(iter(VERSIONS.items()))]) if vocabularies is None else vocabularies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
+        encoders = None
         for batch in slices(batches):
-            encode = encode or _encoder(vocabulary).encode_ordinary
-            counts = [len(encode(t)) if t else 0 for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(counts, pa.int64())], names=[*carry, "n_tokens"])
+            encoders = encoders or {v: _encoder(path).encode_ordinary for v, path in vocabularies.items()}
+            texts = batch.column(at).to_pylist()
+            for version, encode in encoders.items():
+                counts = [len(encode(t)) if t else 0 for t in texts]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=[*carry, "version", "n_tokens"])
 
     return docs.select(*carry, docs[text].alias("_text")).mapInArrow(run, schema)
 
 
 #: What a log holds: the value of a document and version after a batch.
 LOG = "doc_id long, version string, gone boolean, n_tokens long, source string, lang string, number long"
+DELTAS = "source string, lang string, version string, n_docs long, n_tokens long"
 
 
 class TokenRollup:
@@ -81,20 +88,31 @@ class TokenRollup:
             return False
         return True
 
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/commits")
+
     def commits(self) -> list:
-        """Committed batches in order: a row per batch, not per document."""
-        found = self.spark.read.schema(self.schema).parquet(f"{self.path}/commits").collect()
-        return sorted(found, key=lambda r: r["number"])
+        """Commits in order, from the last compaction on: a row per batch, not per document."""
+        base = self._commits().where("base").agg(F.max("number")).first()[0] or 0
+        return sorted(self._commits().where(F.col("number") >= base).collect(), key=lambda r: r["number"])
+
+    def committed(self, batch: str) -> bool:
+        return bool(self._commits().where(F.col("batch") == batch).limit(1).count())
 
     def _commit(self, batch: str, number: int, base: bool, log: str, deltas: str | None) -> None:
         self.spark.createDataFrame([(batch, number, base, log, deltas)], self.schema).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     def _logs(self, done: list) -> DataFrame:
-        """The logs since the last compaction, that included."""
-        first = max([0, *(k for k, r in enumerate(done) if r["base"])])
-        paths = [r["log"] for r in done[first:]]
+        """The logs from the last compaction on."""
+        paths = [r["log"] for r in done]
         return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
 
+    def _deltas(self, done: list) -> DataFrame:
+        """Signed sums by key, from the last compaction on."""
+        paths = [r["deltas"] for r in done]
+        deltas = self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
+        return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+
     @staticmethod
     def _latest(logs: DataFrame) -> DataFrame:
         value = F.struct("gone", "n_tokens", "source", "lang")
@@ -107,10 +125,7 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens of what the ledger holds now; keys that are back at no documents are left out."""
-        paths = [r["deltas"] for r in self.commits() if r["deltas"]]
-        shape = "source string, lang string, version string, n_docs long, n_tokens long"
-        deltas = self.spark.read.schema(shape).parquet(*paths) if paths else self.spark.createDataFrame([], shape)
-        return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        return self._deltas(self.commits())
 
     def apply(self, events: DataFrame, batch: str) -> bool:
         """Apply a batch of events; False if it was committed before.
@@ -124,9 +139,9 @@ class TokenRollup:
         deleting what is not there does nothing. Null source and lang are keys
         of their own.
         """
-        done = self.commits()
-        if any(r["batch"] == batch for r in done):
+        if self.committed(batch):
             return False
+        done = self.commits()
         number = done[-1]["number"] + 1 if done else 0
         ranked = F.struct((F.col("op") == "delete").alias("gone"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "source", "lang")
         wanted = events.where("doc_id is not null and version is not null and op in ('upsert', 'delete')")
@@ -148,34 +163,40 @@ class TokenRollup:
         return True
 
     def compact(self) -> None:
-        """Replace the logs so far by one that holds the current values; totals stay as they are."""
+        """Replace the logs so far by one that holds the current values, and the deltas by their sums; totals stay as they are."""
         done = self.commits()
         if done:
-            number, log = done[-1]["number"] + 1, f"{self.path}/log/{uuid.uuid4().hex}"
+            number, unit = done[-1]["number"] + 1, uuid.uuid4().hex
+            log, deltas = f"{self.path}/log/{unit}", f"{self.path}/deltas/{unit}"
             now = self._latest(self._logs(done)).where("not old.gone")
             now.select("doc_id", "version", "old.*", F.lit(number).cast("long").alias("number")).write.parquet(log)
-            self._commit(f"compact-{uuid.uuid4().hex}", number, True, log, None)
+            self._deltas(done).write.parquet(deltas)
+            self._commit(f"compact-{unit}", number, True, log, deltas)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals of all distinct texts, reached by inserts, revised counts and deletes.
+    """Token totals by two tokenizer versions, reached by inserts, revised counts and deletes.
 
-    Batch 1 inserts every document with provisional counts (its words), batch 2
-    revises them by the tokenizer's counts of every whole text, batch 3 deletes
-    the documents whose text an earlier one has, and batch 2 comes once more.
+    Batch 1 inserts every document under both versions with provisional counts
+    (its words), batch 2 revises them by the tokenizers' counts of every whole
+    text, batch 3 deletes, from the second version alone, the documents whose
+    text an earlier one has, and batch 2 comes once more. So the first version
+    has the totals of the whole table, the second those of its distinct texts.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    upsert = [F.lit("byte_bpe_50k").alias("version"), F.lit("upsert").alias("op")]
+    columns = ["doc_id", "source", "lang", "version", F.lit("upsert").alias("op"), "n_tokens"]
     rollup = TokenRollup(spark)
-    rollup.apply(docs.select("doc_id", "source", "lang", *upsert, word_count(F.col("text")).alias("n_tokens")), "1-insert")
-    revised = count_tokens(docs, carry=["doc_id", "source", "lang"]).select("doc_id", "source", "lang", *upsert, "n_tokens")
+    words = docs.select("doc_id", "source", "lang", word_count(F.col("text")).alias("n_tokens"))
+    rollup.apply(words.withColumn("version", F.explode(F.lit(list(VERSIONS)))).select(*columns), "1-insert")
+    revised = count_tokens(docs, carry=["doc_id", "source", "lang"], vocabularies=VERSIONS).select(*columns)
     rollup.apply(revised, "2-revise")
     digest = docs.where("text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
     digest = table(digest, "text-digests")
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = table(first, "text-first")  # a join of plain reads, which adaptive execution splits at a hot text
     repeats = digest.join(first, "digest").where("doc_id <> first").select("doc_id")
-    gone = repeats.select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit("byte_bpe_50k").alias("version"), F.lit("delete").alias("op"), F.lit(0).alias("n_tokens"))
+    nothing = F.lit(None).cast("string")
+    gone = repeats.select("doc_id", nothing.alias("source"), nothing.alias("lang"), F.lit(list(VERSIONS)[1]).alias("version"), F.lit("delete").alias("op"), F.lit(0).alias("n_tokens"))
     rollup.apply(gone, "3-delete")
     rollup.apply(revised, "2-revise")
     return rollup.totals()

@@ -71,12 +71,34 @@ def test_counts_equal_the_encoder_and_decode(spark):
 def test_query_equals_recount(spark, tmp_path):
     rows = [(1, "a b c", "en", "s"), (2, "a b c", "en", "s"), (3, None, "en", None), (4, "", None, "s"), (5, None, "en", None), (6, "x", None, "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    encoder = tc._encoder(tc.VOCABULARY)
-    docs, tokens, seen = Counter(), Counter(), set()
-    for _, text, lang, source in rows:
-        if text is None or text not in seen:
-            docs[source, lang, "byte_bpe_50k"] += 1
-            tokens[source, lang, "byte_bpe_50k"] += len(encoder.encode_ordinary(text or ""))
-        seen.add(text)
+    docs, tokens = Counter(), Counter()
+    for version, path in tc.VERSIONS.items():
+        encoder, seen = tc._encoder(path), set()
+        for _, text, lang, source in rows:
+            if version == "byte_bpe_50k" or text is None or text not in seen:
+                docs[source, lang, version] += 1
+                tokens[source, lang, version] += len(encoder.encode_ordinary(text or ""))
+            seen.add(text)
     got = {tuple(r)[:3]: tuple(r)[3:] for r in tc.op2_token_counts(spark, str(tmp_path)).collect()}
     assert got == {k: (docs[k], tokens[k]) for k in docs}
+
+
+def test_after_compaction_old_logs_are_not_read_and_old_batches_known(spark):
+    rollup = tc.TokenRollup(spark)
+    rows = spark.createDataFrame([(1, "s", "en", "v", "upsert", 4), (2, "s", "en", "v", "upsert", 5)], SHAPE)
+    rollup.apply(rows, "x")
+    rollup.compact()
+    assert len(rollup.commits()) == 1 and not rollup.apply(rows, "x")
+    rollup.apply(spark.createDataFrame([(2, None, None, "v", "delete", 0)], SHAPE), "y")
+    assert totals(rollup) == {("s", "en", "v"): (1, 4)} and len(rollup.commits()) == 2
+
+
+def test_columns_called_like_results(spark):
+    df = spark.createDataFrame([(1, "a b", 9)], "doc_id long, text string, n_tokens int")
+    assert tc.count_tokens(df).columns == ["doc_id", "version", "n_tokens"]
+    try:
+        tc.count_tokens(df, carry=["doc_id", "n_tokens"])
+    except ValueError as e:
+        assert "clash" in str(e)
+    else:
+        raise AssertionError
