@@ -11,24 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm.common import WORD, carried, slices
 
-#: Phrases of boilerplate, in lower case; a line with one of them fails.
-BOILERPLATE = [
-    "all rights reserved",
-    "licensed under the",
-    "released under the",
-    "permission is hereby granted",
-    "privacy policy",
-    "terms of use",
-    "terms of service",
-    "terms and conditions",
-    "cookie policy",
-    "we use cookies",
-    "accept cookies",
-    "enable javascript",
-    "lorem ipsum",
-]
-#: Whole lines of navigation, in lower case, without punctuation around them.
-NAVIGATION = ["home", "menu", "search", "login", "log in", "sign in", "sign up", "subscribe", "read more", "next page", "previous page", "back to top", "skip to content", "share this", "click here", "contact us", "about us"]
+#: Phrases of boilerplate by language, in lower case; a line with one of them fails.
+BOILERPLATE = {
+    "en": ["all rights reserved", "licensed under the", "released under the", "permission is hereby granted", "privacy policy", "terms of use", "terms of service", "terms and conditions", "cookie policy", "we use cookies", "accept cookies", "enable javascript", "lorem ipsum"],
+    "de": ["alle rechte vorbehalten", "lizenziert unter", "datenschutzerklärung", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "wir verwenden cookies", "cookies akzeptieren", "javascript aktivieren"],
+    "fr": ["tous droits réservés", "sous licence", "politique de confidentialité", "conditions d'utilisation", "conditions générales", "mentions légales", "nous utilisons des cookies", "accepter les cookies", "activer javascript"],
+    "es": ["todos los derechos reservados", "bajo la licencia", "política de privacidad", "términos de uso", "términos y condiciones", "aviso legal", "utilizamos cookies", "aceptar cookies", "activar javascript"],
+}
+#: Whole lines of navigation by language, in lower case, without punctuation around them.
+NAVIGATION = {
+    "en": ["home", "menu", "search", "login", "log in", "sign in", "sign up", "subscribe", "read more", "next page", "previous page", "back to top", "skip to content", "share this", "click here", "contact us", "about us"],
+    "de": ["startseite", "menü", "suche", "anmelden", "registrieren", "abonnieren", "weiterlesen", "mehr lesen", "nächste seite", "vorherige seite", "nach oben", "zum inhalt springen", "teilen", "kontakt", "über uns", "impressum"],
+    "fr": ["accueil", "menu", "recherche", "rechercher", "se connecter", "s'inscrire", "s'abonner", "lire la suite", "page suivante", "page précédente", "haut de page", "aller au contenu", "partager", "contactez-nous", "à propos"],
+    "es": ["inicio", "menú", "buscar", "iniciar sesión", "registrarse", "suscribirse", "leer más", "página siguiente", "página anterior", "volver arriba", "saltar al contenido", "compartir", "contacto", "sobre nosotros"],
+}
+#: Marks that neither end nor join words of prose; a word that ends in two of them is junk.
+MARKS = "!#$%&*+/<=>?@\\^_`|~"
 #: What a sentence may end with, closing quotes and brackets aside.
 TERMINAL = ".!?…:;。！？"
 CLOSING = "\"'”’»)]}"
@@ -62,16 +60,21 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeated
 
 
-def failed_rule(line: str, long_line: int = 30) -> str | None:
+def phrases(table: dict[str, list[str]]) -> list[str]:
+    """The phrases of all languages: a line's own language is not known."""
+    return sorted({x.lower() for own in table.values() for x in own})
+
+
+def failed_rule(line: str, boilerplate: list[str], navigation: set[str], long_line: int = 30) -> str | None:
     """The rule by which a line that has words fails: punctuation, navigation or boilerplate."""
     words = re.findall(WORD, line)
     low = line.lower()
-    if any(x in low for x in BOILERPLATE):
+    if any(x in low for x in boilerplate):
         return "boilerplate"
     bars = sum(w in ("|", "»", ">", "/", "·", "•") for w in words)
-    if bars >= 2 and 4 * bars >= len(words) or low.strip(" \t\r\n.,:;!?|»>-•·") in NAVIGATION:
+    if bars >= 2 and 4 * bars >= len(words) or low.strip(" \t\r\n.,:;!?|»>-•·") in navigation:
         return "navigation"
-    if 5 * sum(len(w) > 2 and w[-3:] in ("%%%", "***", "###", "$$$", "&&&") or w.endswith("!!") for w in words) > len(words):
+    if 5 * sum(len(w) - len(w.rstrip(MARKS)) > 1 for w in words) > len(words):
         return "punctuation"
     if 10 * sum(map(line.count, SYMBOLS)) > sum(map(len, words)):
         return "punctuation"
@@ -88,13 +91,17 @@ def clean_lines(
     max_repeat_percent: int = 50,
     max_lost: float = 0.3,
     long_line: int = 30,
+    boilerplate: dict[str, list[str]] | None = None,
+    navigation: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Remove lines that fail a rule, then reject documents that lose too much.
 
-    A line that has a word fails by boilerplate (a phrase of ``BOILERPLATE``),
-    navigation (separators between short items, or a navigation phrase alone)
-    or punctuation (many symbols, or a line under ``long_line`` words that does
-    not end as a sentence); the first of them counts. Lines without words are kept as they are.
+    A line that has a word fails by boilerplate (a phrase of that table, by
+    default ``BOILERPLATE``), navigation (separators between short items, or a
+    phrase of that table, by default ``NAVIGATION``, alone) or punctuation
+    (more than a fifth of its words end in two or more ``MARKS``, more than a
+    tenth of its characters are symbols, or it has under ``long_line`` words and does
+    not end as a sentence); the first of them counts. The tables hold phrases by language; those of all languages count. Lines without words are kept as they are.
     ``lost`` is the share of word characters in removed lines. A document is
     kept if it has ``min_words`` words, at most ``max_repeat_percent`` of them
     in repeated 3-word windows, and lost at most ``max_lost``.
@@ -109,6 +116,8 @@ def clean_lines(
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [MADE])
     names = [c.split()[0] for c in MADE.split(", ")]
     at = len(carry)
+    plates = phrases(BOILERPLATE if boilerplate is None else boilerplate)
+    ways = set(phrases(NAVIGATION if navigation is None else navigation))
 
     def judge(t: str | None) -> tuple:
         n_words, chars, symbols, dup, repeat = base_counts(t)
@@ -117,7 +126,7 @@ def clean_lines(
         for line in [] if t is None else t.split("\n"):
             own = sum(map(len, re.findall(WORD, line)))
             n_lines += bool(own)
-            if own and (rule := failed_rule(line, long_line)):
+            if own and (rule := failed_rule(line, plates, ways, long_line)):
                 fails[rule] += 1
                 lost += own
             else:
@@ -147,7 +156,7 @@ def _oracle() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     one_of = lambda xs: "(" + ", ".join(map(quote, xs)) + ")"
     words = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
-    boilerplate = " OR ".join(f"contains(low, {quote(x)})" for x in BOILERPLATE)
+    boilerplate = " OR ".join(f"contains(low, {quote(x)})" for x in phrases(BOILERPLATE))
     bare = "' .,:;!?|»>-•·' || chr(9) || chr(10) || chr(13)"
     return f"""
 WITH d AS (
@@ -161,13 +170,13 @@ WITH d AS (
 ), m AS (
   SELECT *, len(array_to_string(lw, '')) AS own, row_number() OVER (PARTITION BY rid, line ORDER BY nth) AS again,
     len(list_filter(lw, lambda x: x IN ('|', '»', '>', '/', '·', '•'))) AS bars,
-    len(list_filter(lw, lambda x: right(x, 3) IN ('%%%', '***', '###', '$$$', '&&&') OR right(x, 2) = '!!')) AS odd,
+    len(list_filter(lw, lambda x: len(x) - len(rtrim(x, {quote(MARKS)})) > 1)) AS odd,
     len(line) - len(translate(line, '{SYMBOLS}', '')) AS symbols,
     right(rtrim(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {quote(CLOSING)}), 1) AS last
   FROM l WHERE len(lw) > 0
 ), r AS (
   SELECT *, CASE WHEN {boilerplate} THEN 'boilerplate'
-    WHEN bars >= 2 AND 4 * bars >= len(lw) OR trim(low, {bare}) IN {one_of(NAVIGATION)} THEN 'navigation'
+    WHEN bars >= 2 AND 4 * bars >= len(lw) OR trim(low, {bare}) IN {one_of(phrases(NAVIGATION))} THEN 'navigation'
     WHEN 5 * odd > len(lw) OR 10 * symbols > own OR NOT contains({quote(TERMINAL)}, last) AND len(lw) < 30 THEN 'punctuation' END AS rule
   FROM m
 ), s AS (

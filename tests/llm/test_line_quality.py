@@ -1,7 +1,8 @@
 import random
 import re
 
-from gridlark.llm.line_quality import base_counts, clean_lines, failed_rule
+from gridlark.llm import line_quality
+from gridlark.llm.line_quality import base_counts, clean_lines, phrases
 
 
 def brute(text):
@@ -21,7 +22,14 @@ def test_base_counts_equal_brute_force():
     assert base_counts(None) == (0, 0, 0, 0, 0)
 
 
+def failed_rule(line):
+    return line_quality.failed_rule(line, phrases(line_quality.BOILERPLATE), set(phrases(line_quality.NAVIGATION)))
+
+
 def test_rules():
+    assert failed_rule("Alle Rechte vorbehalten.") == failed_rule("Mentions légales.") == "boilerplate"
+    assert failed_rule("Página siguiente »") == "navigation"
+    assert failed_rule("Odd~~ words// end<< so.") == "punctuation"
     assert failed_rule("Home | About | Contact us |") == "navigation"
     assert failed_rule("Read more »") == "navigation"
     assert failed_rule("All rights reserved.") == "boilerplate"
@@ -55,3 +63,11 @@ def test_documents(spark):
         if r["doc_id"] == 4:
             assert r["clean_text"] is None and r["base_failed"]
     assert clean_lines(df.where("doc_id < 0")).count() == 0
+
+
+def test_own_tables_of_phrases(spark):
+    text = "\n".join(f"Line w{k} says x{k} and y{k} to z{k}." for k in range(12)) + "\nTutti i diritti riservati.\nPagina iniziale"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    own = clean_lines(df, boilerplate={"it": ["tutti i diritti riservati"]}, navigation={"it": ["Pagina iniziale"]}).first()
+    assert (own["n_boilerplate"], own["n_navigation"], own["n_punctuation"]) == (1, 1, 0)
+    assert clean_lines(df).first()["n_boilerplate"] == 0
