@@ -10,19 +10,28 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.common import lower_ascii
 
-#: One of these terms is enough to block a url.
-STRICT = ["adult", "casino", "porn", "xxx", "escort", "viagra", "warez", "spam"]
-#: Several distinct ones of these block a url.
-SOFT = ["ads", "bets", "bonus", "cheap", "deals", "farm", "free", "loan", "pills", "poker", "prize", "track", "win"]
+#: A term of this weight is strict: it blocks alone.
+STRICT_WEIGHT = 2.0
+#: The default vocabulary, terms by weight; strict ones first, then soft ones, of which several block.
+VOCABULARY = {
+    2.0: ["adult", "casino", "escort", "hentai", "malware", "phishing", "porn", "porno", "sex", "spam", "torrent", "viagra", "warez", "xxx"],
+    1.0: ["ads", "apuestas", "bets", "bonus", "cheap", "deals", "farm", "free", "gratis", "gratuit", "kredit", "loan", "lotto", "pari", "pills", "poker", "prix", "prize", "promo", "track", "win", "wetten"],
+}
 #: host/path rules of the registered query.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 HOST_PATH = r"\A([^/?#]*)([^?#]*)"
 
 
+def vocabulary() -> list[tuple[str, float]]:
+    return [(term, weight) for weight, terms in VOCABULARY.items() for term in terms]
+
+
 def _matcher(weights: dict[str, float]):
     import ahocorasick
 
+    if not weights:  # an automaton of no words cannot run
+        return lambda text: {}
     found = ahocorasick.Automaton()
     for term, weight in weights.items():
         found.add_word(term, (term, weight))
@@ -47,17 +56,18 @@ def judge_urls(
     url: str = "url",
     carry: list[str] | None = None,
     rules: dict[str, str] | None = None,
-    strict: list[str] | None = None,
-    soft: list[str] | None = None,
-    soft_hits: int = 2,
+    terms: list[tuple[str, float]] | None = None,
+    limit: float = STRICT_WEIGHT,
 ) -> DataFrame:
     """Judge each url: the longest fitting rule decides, else the vocabulary.
 
     ``rules`` maps ``host/path`` to ``allow`` or ``block``; a rule fits its host
     and all subdomains if the url's path starts with the rule's path (among
-    rules of one length the last in code-point order wins). A strict
-    term weighs ``soft_hits``, a soft one 1; each counts once however often it
-    occurs, and a sum of ``soft_hits`` blocks. Terms match the whole url in ASCII lower case.
+    rules of one length the last in code-point order wins). ``terms`` is a
+    table of (term, weight), by default ``VOCABULARY``; of several weights of a
+    term the largest counts. A term of at least ``limit`` is strict, others are
+    soft; each counts once however often it occurs, and a sum of weights of ``limit``
+    blocks. Terms match the whole url in ASCII lower case.
 
     Returns the carried columns (default ``page_id``) and host, path, rule,
     n_strict, n_soft, terms (sorted), verdict; one row per input row.
@@ -66,9 +76,8 @@ def judge_urls(
     Rows are judged one by one, so repeated rows give repeated results.
     """
     rules = RULES if rules is None else rules
-    strict, soft = STRICT if strict is None else strict, SOFT if soft is None else soft
+    weights = dict(sorted((t.lower(), float(w)) for t, w in (vocabulary() if terms is None else terms) if t))
     carry = ["page_id"] if carry is None else carry
-    weights = {t.lower(): 1.0 for t in soft} | {t.lower(): float(soft_hits) for t in strict}
 
     @F.pandas_udf("array<string>")
     def terms_of(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -86,10 +95,11 @@ def judge_urls(
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith("/" + path)
         rule, decided = F.when(fits, text).otherwise(rule), F.when(fits, rules[text]).otherwise(decided)
     df = df.withColumns({"rule": rule, "_decided": decided, "terms": terms_of(lower_ascii(F.coalesce(F.col("_url"), F.lit(""))))})
-    n_strict = F.size(F.array_intersect("terms", F.lit([t.lower() for t in strict])))
+    n_strict = F.size(F.array_intersect("terms", F.lit([t for t, w in weights.items() if w >= limit]).cast("array<string>")))
     df = df.withColumns({"n_strict": n_strict, "n_soft": F.size("terms") - n_strict})
-    score = F.col("n_strict") * soft_hits + F.col("n_soft")
-    verdict = F.coalesce("_decided", F.when(score >= soft_hits, "block").otherwise("allow"))
+    weight = F.create_map(*[F.lit(x) for t, w in weights.items() for x in (t, w)]) if weights else F.create_map().cast("map<string,double>")
+    score = F.aggregate("terms", F.lit(0.0), lambda sum_, t: sum_ + F.element_at(weight, t))
+    verdict = F.coalesce("_decided", F.when(score >= limit, "block").otherwise("allow"))
     return df.select("_in.*", "host", "path", "rule", "n_strict", "n_soft", "terms", verdict.alias("verdict"))
 
 
@@ -100,7 +110,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    strict, soft = STRICT, SOFT
+    strict, soft = VOCABULARY[2.0], VOCABULARY[1.0]
     one = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::int"
     rule, decided = "NULL", "NULL"
     for text in sorted(RULES, key=lambda r: (len(r), r)):

@@ -43,3 +43,10 @@ def test_boundaries_equal_a_pattern(text):
 
     want = {t for t in ("win", "ads") if re.search(rf"(?<![a-z0-9]){t}(?![a-z0-9])", text)}
     assert set(_matcher({"win": 1, "ads": 1})(text)) == want
+
+
+def test_own_table_of_weighted_terms(spark):
+    df = spark.createDataFrame([(1, "http://x.org/foo"), (2, "http://x.org/bar-baz"), (3, "http://x.org/bar"), (4, "http://x.org/bar-bar")], "page_id long, url string")
+    out = judge_urls(df, terms=[("foo", 1.0), ("FOO", 3.0), ("bar", 1.5), ("baz", 1.5)], limit=3.0)
+    assert {r["page_id"]: (r["verdict"], r["n_strict"], r["n_soft"]) for r in out.collect()} == {1: ("block", 1, 0), 2: ("block", 0, 2), 3: ("allow", 0, 1), 4: ("allow", 0, 1)}
+    assert {r["verdict"] for r in judge_urls(df, terms=[]).collect()} == {"allow"}
