@@ -10,7 +10,6 @@ QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_line_quality": line_quality.op3_line_quality,
     "op4_tool_calls": tool_calls.op4_tool_calls,
-    "op4_all_turns": tool_calls.op4_all_turns,
     "op5_html_text": html_text.op5_html_text,
     "op6_mixing": mixing.op6_mixing,
     "op7_language_id": language_id.op7_language_id,

@@ -5,15 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import table
+from gridlark.llm.common import positions, table
 
 #: Kinds a schema may ask for, and what the parsed value's type is then.
 KINDS = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
 
 
+#: Private characters: a number in disguise, a masked pair of backslashes, a masked quote.
+NUMBER, SLASHES, QUOTE = "\ue000", "\ue001", "\ue002"
+#: Fixed value: a number of JSON that stands alone.
+NUMERAL = r"(?<![\w.+-])(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?![\w.+-])"
+#: Numbers up to so many digits before the point, and zeros after it, are written without an exponent.
+PLAIN_DIGITS, PLAIN_ZEROS = 21, 5
+
+
+def canonical_number(number: Column) -> Column:
+    """One text for one value, exact however long: no exponent from 1e-6 up to 21 digits, else d.ddde+x; no idle zeros, no -0."""
+    number = F.lower(number)
+    mantissa, exponent = F.substring_index(number, "e", 1), F.when(F.contains(number, F.lit("e")), F.substring_index(number, "e", -1)).otherwise("0")
+    unsigned = F.ltrim(mantissa, F.lit("-"))
+    whole, fraction = F.substring_index(unsigned, ".", 1), F.when(F.contains(unsigned, F.lit(".")), F.substring_index(unsigned, ".", -1)).otherwise("")
+    every = F.concat(whole, fraction)
+    started = F.ltrim(every, F.lit("0"))
+    digits = F.rtrim(started, F.lit("0"))
+    n = F.length(digits)
+    # the value is 0.digits times ten to the power of point
+    point = F.length(whole) - (F.length(every) - F.length(started)) + exponent.try_cast("bigint")
+    at = F.least(F.greatest(point, F.lit(-PLAIN_ZEROS)), F.lit(PLAIN_DIGITS)).cast("int")  # for repeats, whatever the branch
+    plain = F.when(point >= n, F.concat(digits, F.repeat(F.lit("0"), F.greatest(at - n, F.lit(0))))).when(point > 0, F.concat(F.substr(digits, F.lit(1), at), F.lit("."), F.substr(digits, at + 1)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-at, F.lit(0))), digits)
+    power = point - 1
+    far = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.lit("e"), F.when(power > 0, "+").otherwise(""), power.cast("string"))
+    value = F.when((point > 0) & (point <= PLAIN_DIGITS), plain).when((point <= 0) & (point >= -PLAIN_ZEROS), small).otherwise(far)
+    out = F.when(n == 0, "0").otherwise(F.concat(F.when(F.startswith(mantissa, F.lit("-")), "-").otherwise(""), value))
+    return F.coalesce(out, number)  # an exponent beyond all bounds stays as it is written
+
+
+def _segments(json: Column) -> Column:
+    """A text of JSON cut at its quotes, with escaped quotes and backslashes masked: odd places are outside of strings."""
+    masked = F.regexp_replace(F.regexp_replace(F.regexp_replace(json, NUMBER, NUMBER * 2), SLASHES, r"\\ue001"), QUOTE, r"\\ue002")
+    masked = F.regexp_replace(F.replace(masked, F.lit("\\\\"), F.lit(SLASHES)), r"(?i)\\ue000", NUMBER * 2)
+    return F.split(F.replace(masked, F.lit('\\"'), F.lit(QUOTE)), '"', -1)
+
+
+def _unmasked(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(QUOTE), F.lit('\\"')), F.lit(SLASHES), F.lit("\\\\"))
+
+
+def _wrapped(json: Column, parse) -> Column:
+    """Whether a text parses within brackets and within braces: the parsers ignore what follows a value."""
+    return parse(F.concat(F.lit("["), json, F.lit("]"))).isNotNull() & parse(F.concat(F.lit('{"":'), json, F.lit("}"))).isNotNull()
+
+
 def canonical(json: Column) -> Column:
-    """JSON with sorted keys and no blanks; null if it is null or not JSON."""
-    return F.to_json(F.try_parse_json(json))
+    """JSON with sorted keys, no blanks and canonical numbers; null if it is null, not JSON, or repeats a key in an object.
+
+    Numbers are exact: they go through the parser as marked strings, so that
+    none is rounded, and come out by ``canonical_number``.
+    """
+    numbered = F.transform(_segments(json), lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, NUMERAL, f'"{NUMBER}$1"')).otherwise(x))
+    out = F.to_json(F.try_parse_json(_unmasked(F.array_join(numbered, '"'))))
+    marked = f'"{NUMBER}(-?[0-9][^"]*)"'
+    between, numbers = F.split(out, marked, -1), F.regexp_extract_all(out, F.lit(marked), F.lit(1))
+    whole = F.array_join(F.zip_with(between, numbers, lambda x, n: F.concat(x, F.coalesce(canonical_number(n), F.lit("")))), "")
+    return F.when(_wrapped(json, F.try_parse_json), F.replace(whole, F.lit(NUMBER * 2), F.lit(NUMBER)))
+
+
+def repeats_a_key(json: Column) -> Column:
+    """Whether a text is JSON but for a key that an object has twice."""
+    loose = F.exists(F.transform(_segments(json), lambda x, i: F.when(i % 2 == 0, x).otherwise("")), lambda x: F.contains(x, F.lit("'")))
+    return json.isNotNull() & F.try_parse_json(json).isNull() & _wrapped(json, lambda x: F.get_json_object(x, "$")) & ~loose
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -70,7 +131,8 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str
         names = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
         extra = F.transform(F.array_sort(F.array_except(names, F.lit(list(fields)) if fields else F.array().cast("array<string>"))), lambda k: F.concat(F.lit("unexpected "), k))
         found = F.array_compact(F.concat(F.array(*checks) if checks else F.array().cast("array<string>"), extra))
-        out = F.when(F.coalesce(name, F.lit("")) == tool, F.when(F.coalesce(is_object, F.lit(False)), found).otherwise(F.array(F.lit("arguments are no object")))).otherwise(out)
+        bad = F.when(repeats_a_key(arguments), "a key is repeated").otherwise("arguments are no object")
+        out = F.when(F.coalesce(name, F.lit("")) == tool, F.when(F.coalesce(is_object, F.lit(False)), found).otherwise(F.array(bad))).otherwise(out)
     return out
 
 
@@ -82,15 +144,19 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     pair, per call without a result and per result without a call:
 
     conv_id, call_id, level (calls that must come before; null on a cycle, or
-    for a result without a call), status (linked, unanswered, orphan), errors
+    for a result without a call), position (gapless from 0 in the conversation),
+    status (linked, unanswered, orphan), errors
     (empty if the arguments fit the schema; null for an orphan), json
-    (canonical: sorted keys, no blanks).
+    (canonical: sorted keys, no blanks, exact numbers of one form).
 
-    Ordering by level puts every call after those it depends on. Of several
+    Positions put every call after those it depends on: they go by level, calls
+    without one last, then by id and output, both in code-point order. A call
+    has at most one parent. Of several
     calls with one id in a conversation the first by (name, arguments, parent)
     stands. A null id, or conv_id, links with nothing: such a call is
     unanswered at level 0, such a result an orphan. Equal results of one call, or orphans of
-    one id, are one. Arguments that are not JSON are serialised as null. Empty tables give no rows.
+    one id, are one. Arguments that are not JSON, or repeat a key, are
+    serialised as a string of their text, and are an error. Empty tables give no rows; texts may be of any length.
     """
     key = F.when(F.col("conv_id").isNotNull() & F.col("id").isNotNull(), F.to_json(F.array(F.col("conv_id").cast("string"), F.col("id").cast("string"))))
     parent = F.when(F.col("conv_id").isNotNull() & F.col("parent").isNotNull(), F.to_json(F.array(F.col("conv_id").cast("string"), F.col("parent").cast("string"))))
@@ -114,12 +180,17 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         status.alias("status"),
         F.when(status != "orphan", argument_errors(F.col("name"), F.col("arguments"), schemas)).alias("errors"),
         "name",
-        F.try_parse_json("arguments").alias("arguments"),
+        "arguments",
         "output",
+        F.coalesce("depth", F.lit((1 << 63) - 1)).alias("_order"),
     )
+    rows = positions(rows, "conv_id", ["_order", "call_id", "output"], "position", "call-places")
+    text = F.to_json(F.struct(F.col("arguments").alias("a")))  # {"a":"..."}
+    arguments = F.coalesce(canonical(F.col("arguments")), F.when(F.col("arguments").isNotNull(), F.substr(text, F.lit(6), F.length(text) - 6)), F.lit("null"))
     # fields in order of their names, those of the arguments too; nulls are kept: one text for one value
-    json = F.to_json(F.struct("arguments", "call_id", "conv_id", "level", "name", "output", "status"), {"ignoreNullFields": "false"})
-    return rows.select("conv_id", "call_id", "level", "status", "errors", json.alias("json"))
+    rest = F.to_json(F.struct("call_id", "conv_id", "level", "name", "output", "position", "status"), {"ignoreNullFields": "false"})
+    json = F.concat(F.lit('{"arguments":'), arguments, F.lit(","), F.substr(rest, F.lit(2)))
+    return rows.select("conv_id", "call_id", "level", "position", "status", "errors", json.alias("json"))
 
 
 #: The tool a conversation's turns are read as in the registered query.
@@ -143,7 +214,7 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def other_turns(messages: DataFrame) -> DataFrame:
     """The rows of ``messages`` that no link of ``turns_as_calls`` carries, equal ones as one.
 
-    conv_id, call_id (the turn), level 0, status, n_errors (null), json, n_rows
+    conv_id, call_id (the turn), level 0, position (null), status, n_errors (null), json, n_rows
     (rows it stands for). Status ``other`` has another role, or no role or turn;
     ``repeated`` are user rows of a turn besides the one that stands, and
     further copies of equal rows.
@@ -162,23 +233,18 @@ def other_turns(messages: DataFrame) -> DataFrame:
     repeated = results.unionByName(users).where("n_rows > 0").withColumn("status", F.lit("repeated"))
     out = others.unionByName(repeated).withColumn("level", F.lit(0).cast("long"))
     json = F.to_json(F.struct("conv_id", "level", "role", "status", "text", "turn"), {"ignoreNullFields": "false"})
-    return out.select("conv_id", F.col("turn").cast("string").alias("call_id"), "level", "status", F.lit(None).cast("int").alias("n_errors"), json.alias("json"), "n_rows")
+    return out.select("conv_id", F.col("turn").cast("string").alias("call_id"), "level", F.lit(None).cast("long").alias("position"), "status", F.lit(None).cast("int").alias("n_errors"), json.alias("json"), "n_rows")
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation's user turns linked with the assistant's answers."""
-    calls, results = turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    out = link_tool_calls(calls, results, SCHEMAS)
-    return out.select("conv_id", "call_id", "level", "status", F.size("errors").alias("n_errors"), "json")
+    """Every conversation's user turns linked with the assistant's answers, and all other turns (n_rows says how many of each)."""
+    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    calls, results = turns_as_calls(messages)
+    links = link_tool_calls(calls, results, SCHEMAS).withColumn("n_errors", F.size("errors")).withColumn("n_rows", F.lit(None).cast("long"))
+    return links.drop("errors").unionByName(other_turns(messages))
 
 
-def op4_all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``op4_tool_calls``, and all turns that these leave out."""
-    links = op4_tool_calls(spark, sf_dir).withColumn("n_rows", F.lit(None).cast("long"))
-    return links.unionByName(other_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
-
-
-def _oracle() -> str:
+def _oracle_links() -> str:
     """Chains of user turns are runs of turn / 2 within a conversation and parity."""
     quoted = lambda x: f"coalesce(to_json({x})::varchar, 'null')"
     return f"""
@@ -191,15 +257,17 @@ WITH c0 AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, abs(turn) % 2, run ORDER BY turn) - 1 AS level FROM c1
 ), r AS (
   SELECT DISTINCT conv_id, turn - 1 AS turn, text AS output FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL
-), b AS (
+), b0 AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn)::varchar AS call_id, level, arguments, output,
     CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status
   FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, call_id NULLS FIRST, output NULLS FIRST) - 1 AS position FROM b0
 )
-SELECT conv_id, call_id, level, status,
+SELECT conv_id, call_id, level, position, status,
   CASE WHEN status = 'orphan' THEN NULL WHEN starts_with(arguments, '{{"prompt":null') THEN 1 ELSE 0 END::int AS n_errors,
   '{{"arguments":' || coalesce(arguments, 'null') || ',"call_id":"' || call_id || '","conv_id":' || conv_id || ',"level":' || coalesce(level::varchar, 'null')
-    || ',"name":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '"reply"' END || ',"output":' || {quoted("output")} || ',"status":"' || status || '"}}' AS json
+    || ',"name":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '"reply"' END || ',"output":' || {quoted("output")} || ',"position":' || position || ',"status":"' || status || '"}}' AS json
 FROM b"""
 
 
@@ -207,7 +275,7 @@ def _oracle_all() -> str:
     """The links, then rows of other roles, then those beyond the first of a turn or of equals."""
     quoted = lambda x: f"coalesce(to_json({x})::varchar, 'null')"
     return f"""
-WITH links AS ({_oracle()}
+WITH links AS ({_oracle_links()}
 ), t AS (
   SELECT conv_id, role, turn, text, count(*) AS n, coalesce(role IN ('user', 'assistant') AND turn IS NOT NULL, false) AS carried FROM conversations GROUP BY ALL
 ), k AS (
@@ -219,9 +287,9 @@ WITH links AS ({_oracle()}
 )
 SELECT *, NULL::bigint AS n_rows FROM links
 UNION ALL
-SELECT conv_id, turn::varchar, 0, status, NULL::int,
+SELECT conv_id, turn::varchar, 0, NULL, status, NULL::int,
   '{{"conv_id":' || {quoted("conv_id")} || ',"level":0,"role":' || {quoted("role")} || ',"status":"' || status || '","text":' || {quoted("text")} || ',"turn":' || {quoted("turn")} || '}}', n_rows
 FROM o"""
 
 
-ORACLE = {"op4_tool_calls": _oracle(), "op4_all_turns": _oracle_all()}
+ORACLE = {"op4_tool_calls": _oracle_all()}

@@ -63,6 +63,12 @@ def test_link_validate_serialise(spark):
         key=str,
     )
     assert len(rows) == 10
+    places = {}
+    for r in rows:
+        places.setdefault(r["conv_id"], []).append((r["position"], r["level"] if r["level"] is not None else 99, r["call_id"] or ""))
+    for found in places.values():
+        assert [p for p, *_ in sorted(found)] == list(range(len(found)))
+        assert [x[1:] for x in sorted(found)] == sorted(x[1:] for x in found)
     for r in rows:
         value = json.loads(r["json"])
         assert r["json"] == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -84,7 +90,7 @@ def test_every_turn_is_carried(spark, tmp_path):
     rows += [(None, 1, "user", "n"), (None, 2, "assistant", "n"), (None, 2, "assistant", "n"), (None, 0, "system", "n")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     linked, others = set(), Counter()
-    for r in tc.op4_all_turns(spark, str(tmp_path)).collect():
+    for r in tc.op4_tool_calls(spark, str(tmp_path)).collect():
         v = json.loads(r["json"])
         if r["status"] in ("other", "repeated"):
             assert r["level"] == 0 and r["n_errors"] is None and r["call_id"] == (None if v["turn"] is None else str(v["turn"]))
@@ -95,3 +101,55 @@ def test_every_turn_is_carried(spark, tmp_path):
         if r["status"] != "unanswered":
             linked.add((v["conv_id"], int(v["call_id"]) + 1, "assistant", v["output"]))
     assert Counter(linked) + others == Counter(rows)
+
+
+def plain_number(text):
+    """The canonical form by decimal arithmetic."""
+    from decimal import Decimal
+
+    sign, digits, power = Decimal(text).as_tuple()
+    digits = "".join(map(str, digits)).lstrip("0")
+    kept = digits.rstrip("0")
+    if not kept:
+        return "0"
+    point = len(digits) + power
+    if 0 < point <= 21:
+        out = kept + "0" * (point - len(kept)) if point >= len(kept) else kept[:point] + "." + kept[point:]
+    elif -6 < point <= 0:
+        out = "0." + "0" * -point + kept
+    else:
+        out = kept[0] + ("." + kept[1:] if len(kept) > 1 else "") + "e" + ("+" if point > 1 else "") + str(point - 1)
+    return "-" * sign + out
+
+
+def test_numbers_have_one_form(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["0", "-0", "0.0", "-0.00e5", "1e2", "100", "100.0", "1.50", "1E400", "1e-400", "12345678901234567890123", "0.1", "1e-6", "1e-7", "0.000001", "1e20", "1e21", "1e22", "123e-3", "-5.0E+0", "9" * 60 + ".5", "1e99999999999999999999"]
+    rng = random.Random(8)
+    texts += [("-" if rng.random() < 0.3 else "") + str(rng.randrange(10 ** rng.randrange(1, 25))) + rng.choice(["", f".{rng.randrange(10**9):09d}"]) + rng.choice(["", f"e{rng.randrange(-30, 30)}", "E+3"]) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", tc.canonical(F.col("t")).alias("c"), tc.canonical(F.concat(F.lit('{"b":['), "t", F.lit(',{"x":'), "t", F.lit('}],"a":"'), "t", F.lit('"}'))).alias("d")).collect():
+        want = plain_number(r["t"]) if "e9999" not in r["t"] else r["t"]
+        assert r["c"] == want and r["d"] == '{"a":"' + r["t"] + '","b":[' + want + ',{"x":' + want + "}]}"
+
+
+def test_strings_keep_what_looks_like_marks(spark):
+    from pyspark.sql import functions as F
+
+    values = ["\ue000", "\ue0005", "\ue001\ue002", '\\"5', "\\\\", '\\ue000"7', "1", '",1,"', "a\\", "\n\t\x01", "\ue000\ue0003", 'q"\ue0001"']
+    rows = [(json.dumps({"z": v, v: [v, 1.0]}, ensure_ascii=e),) for v in values for e in (True, False)]
+    for r in spark.createDataFrame(rows, "t string").select("t", tc.canonical(F.col("t")).alias("c")).collect():
+        assert json.loads(r["c"]) == json.loads(r["t"]), r["t"]
+
+
+def test_what_is_no_json_or_repeats_a_key(spark):
+    from pyspark.sql import functions as F
+
+    bad = ["01", "1.", "+1", "{'a':1}", "[1", "nul", "", '{"a":1}x', "NaN"]
+    twice = ['{"a":1,"a":2}', '{"b":{"a":1,"a":1}}']
+    df = spark.createDataFrame([(t,) for t in [*bad, *twice, '{"a":1}']], "t string")
+    for r in df.select("t", tc.canonical(F.col("t")).alias("c"), tc.repeats_a_key(F.col("t")).alias("r")).collect():
+        assert (r["c"] is None) == (r["t"] != '{"a":1}') and r["r"] == (r["t"] in twice), r["t"]
+    rows = link(spark, [(1, "a", None, "reply", twice[0]), (1, "b", None, "reply", "[1"), (1, "c", None, "reply", None)], [])
+    assert {(r["call_id"], r["errors"][0], json.dumps(json.loads(r["json"])["arguments"])) for r in rows} == {("a", "a key is repeated", json.dumps(twice[0])), ("b", "arguments are no object", '"[1"'), ("c", "arguments are no object", "null")}
