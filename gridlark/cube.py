@@ -98,10 +98,16 @@ class Cube:
     def axis_length(self, dim: str) -> int:
         return self.df.select(dim).distinct().count()
 
-    def shape(self) -> dict[str, int]:
-        """The number of coordinates on each axis, in one pass."""
-        row = self.df.agg(*[F.count_distinct(d).alias(d) for d in self.dims]).first()
-        return {d: row[d] for d in self.dims}
+    def shape(self, *dims: str) -> dict[str, int]:
+        """The number of coordinates on each axis (or those asked for), in one pass."""
+        wanted = [d for d in self.dims if not dims or d in dims]
+        row = self.df.agg(F.count(F.lit(1)), *[F.count_distinct(d).alias(d) for d in wanted]).first()
+        return {d: row[d] for d in wanted}
+
+    def coordinates(self, *dims: str) -> dict[str, list]:
+        """The coordinates of axes, ascending, in one pass; each is as long as the axis."""
+        row = self.df.agg(*[F.sort_array(F.collect_set(d)).alias(d) for d in dims]).first()
+        return {d: list(row[d]) for d in dims}
 
     def size(self) -> int:
         return self.df.count()

@@ -147,6 +147,17 @@ def bins_between(lo: Column, hi: Column, freq: str) -> Column:
     return starts if unit in ("MS", "YS") else F.transform(starts, lambda d: F.last_day(d))
 
 
+def contains(t: Column, start: str, end: str) -> Column:
+    """Whether a time is in a closed range."""
+    return t.cast("timestamp_ntz").between(F.to_timestamp_ntz(F.lit(start)), F.to_timestamp_ntz(F.lit(end)))
+
+
+def extended(start: Column, end: Column, offset: str, kind: str = "timestamp_ntz") -> tuple[Column, Column]:
+    """A range that begins, or ends if the offset is positive, so much further out."""
+    outward = next(iter(parse_offset(offset).values())) > 0
+    return (start, shift(end, offset, 1, kind)) if outward else (shift(start, offset, 1, kind), end)
+
+
 def bytes_of(text: str) -> int:
     """A size such as ``500M`` in bytes, by decimal units."""
     m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([kmgtp]?)b?\s*", text.lower())

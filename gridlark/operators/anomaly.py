@@ -26,25 +26,32 @@ def _against_groups(cube: Cube, keys: dict[str, Column], aggregates: dict[str, C
     return cube.with_df(both.select(*cube.dims, *[c.alias(v) for v, c in made.items()]))
 
 
-def anomaly(cube: Cube, axes: str | Iterable[str], joint: bool = False) -> Cube:
-    """``v - ave(v, axes)``; with ``t`` and other axes, first over those, then over ``t``."""
+def _groups(cube: Cube, over: list[str], groups: dict[str, Column] | None) -> dict[str, Column]:
+    """The kept dimensions, and groups of time steps, which need ``t`` among the axes."""
+    if groups and "t" not in over:
+        raise ValueError("groups of time need t among the axes")
+    return {k: F.col(k) for k in cube.others(over)} | {f"group_{k}": c for k, c in (groups or {}).items()}
+
+
+def anomaly(cube: Cube, axes: str | Iterable[str], joint: bool = False, groups: dict[str, Column] | None = None) -> Cube:
+    """``v - ave(v, axes)``; with ``t`` and other axes, first over those, then over ``t``, within groups of time if given."""
     over = cube.checked(axes)
     if "t" in over and len(over) > 1 and not joint:
-        return anomaly(anomaly(cube, [a for a in over if a != "t"], True), ["t"], True)
-    keys = {k: F.col(k) for k in cube.others(over)}
+        return anomaly(anomaly(cube, [a for a in over if a != "t"], True), ["t"], True, groups)
+    keys = _groups(cube, over, groups)
     means = {f"_a_{v}": aggregate("ave", cube.value(v), "y" in over) for v in cube.variables}
     return _against_groups(cube, keys, means, {v: cube.value(v) - F.col(f"`_a_{v}`") for v in cube.variables})
 
 
-def norm(cube: Cube, axes: str | Iterable[str], joint: bool = False) -> Cube:
+def norm(cube: Cube, axes: str | Iterable[str], joint: bool = False, groups: dict[str, Column] | None = None) -> Cube:
     """``(v - ave) / std(v - ave)`` over the axes; null where the spread is 0.
 
     The spread is not weighted. It is that of the values, which a constant does not change.
     """
     over = cube.checked(axes)
     if "t" in over and len(over) > 1 and not joint:
-        return norm(norm(cube, [a for a in over if a != "t"], True), ["t"], True)
-    keys = {k: F.col(k) for k in cube.others(over)}
+        return norm(norm(cube, [a for a in over if a != "t"], True), ["t"], True, groups)
+    keys = _groups(cube, over, groups)
     stats = {f"_a_{v}": aggregate("ave", cube.value(v), "y" in over) for v in cube.variables}
     stats |= {f"_s_{v}": F.stddev_pop(cube.value(v)) for v in cube.variables}
     made = {v: F.when(F.col(f"`_s_{v}`") != 0, (cube.value(v) - F.col(f"`_a_{v}`")) / F.col(f"`_s_{v}`")) for v in cube.variables}

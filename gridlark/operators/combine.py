@@ -19,8 +19,13 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def _matched(a: Cube, b: Cube, how: str = "inner"):
-    """Join on the dimensions both have; the side that lacks some is joined to each of the others' cells."""
+    """Join on the dimensions both have; the side that lacks some is joined to each of the others' cells.
+
+    Cubes that share no dimension do not match, unless the second has none at all: it is one row.
+    """
     shared = [d for d in a.dims if d in b.dims]
+    if not shared and b.dims:
+        raise ValueError(f"the cubes share no dimensions: {a.dims} and {b.dims}")
     left = a.df.select(*a.dims, *[a.value(v).alias(f"_a{i}") for i, v in enumerate(a.variables)])
     right = b.df.select(*b.dims, *[b.value(v).alias(f"_b{i}") for i, v in enumerate(b.variables)])
     joined = left.join(right, shared, how) if shared else left.crossJoin(F.broadcast(right))  # a scalar
@@ -93,5 +98,5 @@ def best_of(cubes: list[Cube], rule: str) -> Cube:
 
 def largest(cubes: list[Cube], lowest: bool = False) -> Cube:
     """The cube with the finest (or coarsest) horizontal grid."""
-    sizes = [fold(lambda p, q: p * q, (n for d, n in c.shape().items() if d in ("x", "y")), 1) for c in cubes]
+    sizes = [fold(lambda p, q: p * q, c.shape("x", "y").values(), 1) for c in cubes]
     return cubes[sizes.index((min if lowest else max)(sizes))]

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.cube import Cube
-from gridlark.operators.combine import largest
 
 #: Grids whose coordinates differ by less are the same.
 SAME = 1.0
 
 
-def axis_values(cube: Cube, axis: str) -> np.ndarray:
-    """The coordinates of a horizontal axis, ascending; as many as the grid has rows or columns."""
-    return np.array(sorted(r[0] for r in cube.df.select(axis).distinct().where(F.col(axis).isNotNull()).collect()), float)
+def horizontal(cube: Cube) -> tuple[np.ndarray, np.ndarray]:
+    """Latitudes and longitudes, ascending, in one job: as many as the grid has rows and columns."""
+    found = cube.coordinates("y", "x")
+    return np.array(found["y"], float), np.array(found["x"], float)
 
 
 def edges(centres: np.ndarray, lowest: float | None = None, highest: float | None = None) -> np.ndarray:
@@ -46,10 +47,10 @@ def gaussian_latitudes(n: int) -> np.ndarray:
     return np.degrees(np.arcsin(np.polynomial.legendre.leggauss(n)[0]))
 
 
-def target_grid(cube: Cube, gridder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Latitudes and longitudes of ``uniform~<dy>x<dx>`` or ``gaussian~<nlat>``, within the cube's extent."""
+def target_grid(own: tuple[np.ndarray, np.ndarray], gridder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Latitudes and longitudes of ``uniform~<dy>x<dx>`` or ``gaussian~<nlat>``, within a grid's extent."""
     kind, _, spec = gridder.partition("~")
-    y, x = edges(axis_values(cube, "y"), -90.0, 90.0), edges(axis_values(cube, "x"))
+    y, x = edges(own[0], -90.0, 90.0), edges(own[1])
     if kind == "uniform" and spec.count("x") == 1:
         dy, dx = spec.split("x")
         return parse_axis(dy, y), parse_axis(dx, x)
@@ -94,8 +95,10 @@ def _apply(cube: Cube, wy: DataFrame, wx: DataFrame, complete: bool) -> Cube:
 
 def regrid(cube: Cube, gridder: str) -> Cube:
     """Averages over the cells of another grid, weighted by the area of overlap; missing cells have no weight."""
-    y, x = target_grid(cube, gridder)
-    return _apply(cube, _overlaps(cube, "y", axis_values(cube, "y"), y), _overlaps(cube, "x", axis_values(cube, "x"), x), False)
+    own = horizontal(cube)
+    y, x = target_grid(own, gridder)
+    out = _apply(cube, _overlaps(cube, "y", own[0], y), _overlaps(cube, "x", own[1], x), False)
+    return replace(out, attrs=out.attrs | {"grid": f"{gridder} of {out.attrs['grid']}"} if "grid" in out.attrs else out.attrs)
 
 
 def _neighbours(cube: Cube, axis: str, source: np.ndarray, target: np.ndarray) -> DataFrame:
@@ -110,20 +113,22 @@ def _neighbours(cube: Cube, axis: str, source: np.ndarray, target: np.ndarray) -
     return cube.df.sparkSession.createDataFrame(rows, f"{axis} double, _o{axis} double, _w{axis} double")
 
 
-def interpolate(cube: Cube, y: np.ndarray, x: np.ndarray) -> Cube:
+def interpolate(cube: Cube, y: np.ndarray, x: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None = None) -> Cube:
     """Bilinear values at other coordinates; missing beyond the grid and beside missing cells."""
-    return _apply(cube, _neighbours(cube, "y", axis_values(cube, "y"), y), _neighbours(cube, "x", axis_values(cube, "x"), x), True)
+    own = own or horizontal(cube)
+    out = _apply(cube, _neighbours(cube, "y", own[0], y), _neighbours(cube, "x", own[1], x), True)
+    return replace(out, attrs={k: v for k, v in out.attrs.items() if k != "grid"})
 
 
 def align(cubes: list[Cube], to: str = "lowest") -> list[Cube]:
     """Bring cubes to the grid of the coarsest (``lowest``) or finest (``highest``) of them; equal grids stay."""
     if to not in ("lowest", "highest"):
         raise ValueError(f"align to lowest or highest, not {to!r}")
-    goal = largest(cubes, lowest=to == "lowest")
-    y, x = axis_values(goal, "y"), axis_values(goal, "x")
+    own = [horizontal(c) for c in cubes]  # one job a cube
+    sizes = [len(y) * len(x) for y, x in own]
+    goal = sizes.index((min if to == "lowest" else max)(sizes))
     out = []
-    for c in cubes:
-        own = axis_values(c, "y"), axis_values(c, "x")
-        same = all(len(a) == len(b) and (len(a) == 0 or np.abs(a - b).max() < SAME) for a, b in zip(own, (y, x), strict=True))
-        out.append(c if c is goal or same else interpolate(c, y, x))
+    for c, grid in zip(cubes, own, strict=True):
+        same = all(len(a) == len(b) and (len(a) == 0 or np.abs(a - b).max() < SAME) for a, b in zip(grid, own[goal], strict=True))
+        out.append(c if same else interpolate(c, *own[goal], grid))
     return out

@@ -23,9 +23,12 @@ class Bounds:
     step: int | None = None
 
     @staticmethod
-    def parse(axis: str, spec: Any) -> Bounds:
-        """From a number or time (a point) or a dict with start, end and system (or crs)."""
-        dim = axis_of(axis)
+    def parse(axis: str, spec: Any, names: dict[str, str] | None = None) -> Bounds:
+        """From a number or time (a point) or a dict with start, end, system (or crs) and step.
+
+        ``names`` tells dimensions for axes whose names say none.
+        """
+        dim = axis_of((names or {}).get(axis, axis))
         if dim is None:
             raise ValueError(f"no such axis: {axis!r}")
         if not isinstance(spec, dict):
@@ -38,7 +41,10 @@ class Bounds:
         if kind is None:
             raise ValueError(f"no such system: {system!r}")
         start = spec.get("start", spec.get("end"))
-        return Bounds(dim, start, spec.get("end", start), kind, spec.get("step"))
+        step = spec.get("step")
+        if step is not None and (int(step) != float(step) or int(step) < 1):
+            raise ValueError(f"bounds of {axis!r} have a step of {step!r}: it counts coordinates")
+        return Bounds(dim, start, spec.get("end", start), kind, None if step is None else int(step))
 
     @property
     def is_point(self) -> bool:
@@ -62,9 +68,11 @@ class Domain:
     bounds: tuple[Bounds, ...] = ()
 
     @staticmethod
-    def parse(spec: dict[str, Any]) -> Domain:
-        rest = {k: v for k, v in spec.items() if k != "name"}
-        return Domain(str(spec.get("name", "d")), tuple(Bounds.parse(k, v) for k, v in rest.items()))
+    def parse(spec: dict[str, Any], names: dict[str, str] | None = None) -> Domain:
+        """From a dictionary of bounds by axis; ``names`` of the spec itself, or given, rename unknown axes."""
+        names = {**(names or {}), **spec.get("names", {})}
+        rest = {k: v for k, v in spec.items() if k not in ("name", "names")}
+        return Domain(str(spec.get("name", "d")), tuple(Bounds.parse(k, v, names) for k, v in rest.items()))
 
     def __and__(self, other: Domain) -> Domain:
         mine = {b.axis: b for b in self.bounds}
@@ -102,13 +110,19 @@ def _positions(cube: Cube, b: Bounds) -> DataFrame:
     """The coordinates at positions start to end of the axis; the table has one row a coordinate."""
     order = Window.orderBy(b.axis)
     numbered = cube.df.select(b.axis).distinct().withColumn("_i", F.row_number().over(order) - 1)
-    return numbered.where(F.col("_i").between(int(b.start), int(b.end))).select(b.axis)
+    return numbered.where(F.col("_i").between(int(b.start), int(b.end)) & ((F.col("_i") - int(b.start)) % (b.step or 1) == 0)).select(b.axis)
+
+
+def _stepped(cube: Cube, b: Bounds) -> DataFrame:
+    """Every step-th coordinate of what a cube has on an axis: a row a coordinate."""
+    numbered = cube.df.select(b.axis).distinct().withColumn("_i", F.row_number().over(Window.orderBy(b.axis)) - 1)
+    return numbered.where(F.col("_i") % b.step == 0).select(b.axis)
 
 
 def subset(cube: Cube, domain: Domain) -> Cube:
     """The cells of a cube inside a domain.
 
-    Ranges by value are filters that reach the scan; a point takes the nearest
+    Ranges by value are filters that reach the scan, of which a ``step`` keeps every so-manieth coordinate; a point takes the nearest
     coordinate and drops the axis; positions and points are joins with a table
     of a few coordinates, small as an axis is. Bounds on axes that the cube
     lacks are ignored. A domain that was applied before is not applied again.
@@ -128,6 +142,8 @@ def subset(cube: Cube, domain: Domain) -> Cube:
         elif b.is_point:
             df = df.join(F.broadcast(_nearest(cube, b)), b.axis, "left_semi")  # one row
             dims.remove(b.axis)
+        elif b.step and b.step > 1:
+            df = df.join(_stepped(ranged, b), b.axis, "left_semi")
     out = ranged.with_df(df.select(*dims, *[cube.value(v) for v in cube.variables]), dims=dims)
     return replace(out, domains=cube.domains | {domain.name})
 

@@ -12,6 +12,7 @@ from gridlark.operators import anomaly as an
 from gridlark.operators import bioclim, combine, regrid, resample, rolling, select, telemap
 from gridlark.operators import reduce as rd
 from gridlark.operators.eof import eof
+from gridlark.plans.request import flag
 
 #: A kernel takes the cubes of a connector, the axes, group keys and parameters.
 Run = Callable[[list[Cube], list[str], dict, dict[str, Any]], list[Cube]]
@@ -24,16 +25,21 @@ class Kernel:
     run: Run
     required: tuple[str, ...] = ()  # patterns, one of which each must find a parameter
     optional: tuple[str, ...] = ()
+    grouped: bool = False  # whether it works within groups of time steps
+    together: bool = False  # whether it takes its inputs together, which are brought to one grid then
 
 
+#: Parameters that say something about a result and change nothing.
+DESCRIPTIVE = ("axes", "product", "description", "title")
+
 KERNELS: dict[str, Kernel] = {}
 
 
-def register(name: str, title: str, required: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> Callable[[Run], Run]:
+def register(name: str, title: str, required: tuple[str, ...] = (), optional: tuple[str, ...] = (), grouped: bool = False, together: bool = False) -> Callable[[Run], Run]:
     """Add an operation: a function of cubes that returns cubes, made of DataFrame operations."""
 
     def add(run: Run) -> Run:
-        KERNELS[name.lower()] = Kernel(name, title, run, required, optional)
+        KERNELS[name.lower()] = Kernel(name, title, run, required, optional, grouped, together)
         return run
 
     return add
@@ -52,23 +58,16 @@ def describe(name: str | None = None) -> list[dict[str, Any]]:
     return [{"name": k.name, "title": k.title, "required": list(k.required), "optional": list(k.optional)} for key, k in sorted(KERNELS.items()) if name is None or key == re.split(r"[.:]", name)[-1].lower()]
 
 
-def flag(value: Any, default: bool = False) -> bool:
-    """A boolean parameter; ``"false"`` is false."""
-    if value is None:
-        return default
-    return value if isinstance(value, bool) else str(value).strip().lower() in ("1", "true", "t", "yes", "y")
-
-
 def each(f: Callable[[Cube, list[str], dict, dict[str, Any]], Cube]) -> Run:
     return lambda cubes, axes, keys, p: [f(c, axes, keys, p) for c in cubes]
 
 
 TITLES = {"ave": "mean weighted by latitude", "mean": "mean", "max": "maximum", "min": "minimum", "sum": "sum", "med": "median", "std": "standard deviation", "var": "variance"}
 for _op in rd.OPS:
-    register(_op, TITLES[_op], optional=("axes", "groupby", "resample"))(each(lambda c, axes, keys, p, op=_op: rd.reduce(c, op, axes, keys)))
+    register(_op, TITLES[_op], optional=("axes", "groupby", "resample"), grouped=True)(each(lambda c, axes, keys, p, op=_op: rd.reduce(c, op, axes, keys)))
 
-register("anomaly", "departure from the weighted mean")(each(lambda c, axes, keys, p: an.anomaly(c, axes)))
-register("norm", "departure divided by the spread")(each(lambda c, axes, keys, p: an.norm(c, axes)))
+register("anomaly", "departure from the weighted mean", optional=("axes", "groupby", "resample"), grouped=True)(each(lambda c, axes, keys, p: an.anomaly(c, axes, groups=keys)))
+register("norm", "departure divided by the spread", optional=("axes", "groupby", "resample"), grouped=True)(each(lambda c, axes, keys, p: an.norm(c, axes, groups=keys)))
 
 
 def _filter(c: Cube, axes: list[str], keys: dict, p: dict[str, Any]) -> Cube:
@@ -87,15 +86,16 @@ def _size(p: dict[str, Any]) -> int | None:
     return int(p["wsize"]) if p.get("wsize") is not None else None
 
 
-register("lowpass", "centred moving average", optional=("wsize",))(each(lambda c, axes, keys, p: rolling.lowpass(c, _size(p), axes[0] if axes else None)))
-register("detrend", "departure from the centred moving average", optional=("wsize",))(each(lambda c, axes, keys, p: rolling.detrend(c, _size(p), axes[0] if axes else None)))
+register("lowpass", "centred moving average", optional=("wsize", "dense"))(each(lambda c, axes, keys, p: rolling.lowpass(c, _size(p), axes[0] if axes else None, flag(p.get("dense")))))
+register("detrend", "departure from the centred moving average", optional=("wsize", "dense"))(each(lambda c, axes, keys, p: rolling.detrend(c, _size(p), axes[0] if axes else None, flag(p.get("dense")))))
+register("smooth", "five-point weighted average", optional=("dense",))(each(lambda c, axes, keys, p: rolling.smooth(c, axis=axes[0] if axes else "t", dense=flag(p.get("dense")))))
 register("telemap", "correlation with a point", required=("lat", "lon"))(each(lambda c, axes, keys, p: telemap.telemap(c, float(p["lat"]), float(p["lon"]))))
 register("regrid", "averages on another grid", required=("gridder",))(each(lambda c, axes, keys, p: regrid.regrid(c, p["gridder"])))
 register("subset", "the cells inside a domain")(each(lambda c, axes, keys, p: c))
 register("noop", "an intermediate result")(each(lambda c, axes, keys, p: c))
 
 
-@register("diff", "first input minus second")
+@register("diff", "first input minus second", together=True)
 def _diff(cubes: list[Cube], axes: list[str], keys: dict, p: dict[str, Any]) -> list[Cube]:
     if len(cubes) != 2:
         raise ValueError("diff takes two inputs")
@@ -110,7 +110,7 @@ def _cache(cubes: list[Cube], axes: list[str], keys: dict, p: dict[str, Any]) ->
     return kept
 
 
-@register("worldClim", "19 bioclimatic indices", optional=("minTemp", "maxTemp", "temp", "moist", "hscale", "tscale", "wrap"))
+@register("worldClim", "19 bioclimatic indices", optional=("minTemp", "maxTemp", "temp", "moist", "hscale", "tscale", "wrap", "units", "version"), together=True)
 def _world_clim(cubes: list[Cube], axes: list[str], keys: dict, p: dict[str, Any]) -> list[Cube]:
     c = combine.merge(cubes) if len(cubes) > 1 else cubes[0]
     scales = {"hscale": float(p.get("hscale", 1)), "tscale": float(p.get("tscale", 1))}
@@ -122,7 +122,7 @@ def _world_clim(cubes: list[Cube], axes: list[str], keys: dict, p: dict[str, Any
     return [c.with_df(df, dims=c.others(["t"]), variables=bioclim.INDICES)]
 
 
-@register("eof", "modes of variability", optional=("modes", "center"))
+@register("eof", "modes of variability", optional=("modes", "center"), together=True)
 def _eof(cubes: list[Cube], axes: list[str], keys: dict, p: dict[str, Any]) -> list[Cube]:
     """A cube of maps for each mode and variable, one of the components, with ``pves`` in percent."""
     c = combine.merge(cubes) if len(cubes) > 1 else cubes[0]

@@ -1,4 +1,4 @@
-"""Requests: domains, variables and operations, as dictionaries or as text."""
+"""Requests: domains, variables and operations, as dictionaries or as JSON."""
 
 from __future__ import annotations
 
@@ -11,67 +11,17 @@ from gridlark.cube import parse_axes
 from gridlark.operators.select import Domain
 from gridlark.sources.readers import parse_variables
 
-_TOKEN = re.compile(r"""\s*(?:("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|([A-Za-z_][\w.\-]*)|([\[\]{}=:,;]))""")
-
-
-def parse_text(text: str) -> dict[str, list[dict[str, Any]]]:
-    """``[domain=[{..}],variable=[{..}],operation=[{..}]]`` as lists of dictionaries.
-
-    Values are quoted strings, numbers, lists of such, or dictionaries one level deep.
-    """
-    tokens, at = [], 0
-    text = text.strip()
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise ValueError(f"not a request, from {text[at : at + 20]!r}")
-        quoted, number, word, mark = m.groups()
-        value = quoted[1:-1].replace("\\" + quoted[0], quoted[0]) if quoted else (float(number) if re.search(r"[.eE]", number) else int(number)) if number else word or mark
-        tokens.append(("mark" if mark else "value", value))
-        at = m.end()
-    place = 0
-
-    def take(mark: str | None = None) -> Any:
-        nonlocal place
-        if place >= len(tokens):
-            raise ValueError("the request ends early")
-        kind, value = tokens[place]
-        if mark is not None and (kind, value) != ("mark", mark) or mark is None and kind == "mark":
-            raise ValueError(f"expected {mark or 'a value'}, found {value!r}")
-        place += 1
-        return value
-
-    def ahead(*marks: str) -> bool:
-        return place < len(tokens) and tokens[place][0] == "mark" and tokens[place][1] in marks
-
-    def listed(begin: str, end: str, item) -> list:
-        take(begin)
-        out = []
-        while not ahead(end):
-            out.append(item())
-            while ahead(",", ";"):
-                take(tokens[place][1])
-        take(end)
-        return out
-
-    def pair(depth: int) -> tuple[str, Any]:
-        key = take()
-        take(":")
-        if ahead("{"):
-            if depth:
-                raise ValueError("dictionaries nest one level deep")
-            return str(key), dict(listed("{", "}", lambda: pair(depth + 1)))
-        return str(key), listed("[", "]", take) if ahead("[") else take()
-
-    def section() -> tuple[str, list]:
-        name = take()
-        take("=")
-        return str(name), listed("[", "]", lambda: dict(listed("{", "}", lambda: pair(0))))
-
-    out = dict(listed("[", "]", section))
-    if place != len(tokens):
-        raise ValueError("text after the request")
-    return out
+#: Options that every operation has, besides its inputs, axes and own parameters.
+OPTIONS = ("domain", "groupby", "resample", "align", "result", "merge")
+#: How an input may use what the engine keeps: if it is there, only if it is there, or not at all.
+CACHES = (None, "opt", "req", "ig")
+
+
+def flag(value: Any, default: bool = False) -> bool:
+    """A boolean parameter; ``"false"`` is false."""
+    if value is None:
+        return default
+    return value if isinstance(value, bool) else str(value).strip().lower() in ("1", "true", "t", "yes", "y")
 
 
 @dataclass(frozen=True)
@@ -90,6 +40,8 @@ class Variable:
         names = spec.get("name", spec.get("input"))
         if not uri or not names:
             raise ValueError(f"a variable needs uri and name: {spec}")
+        if spec.get("cache") not in CACHES:
+            raise ValueError(f"cache is one of opt, req and ig: {spec}")
         return Variable(uri, tuple(parse_variables(names)), spec.get("domain"), spec.get("offset"), spec.get("cache"))
 
 
@@ -126,6 +78,8 @@ class Operation:
     resample: str | None = None
     align: str | None = None
     result: str | None = None
+    merge: str | None = None  # of several results the best, such as ``min:loss``
+    archive: bool = False  # whether results are saved
     params: dict[str, Any] = field(default_factory=dict)
 
     @property
@@ -139,14 +93,14 @@ class Operation:
         default = rest.get("result") or f"{re.split('[.:]', name)[-1]}-{number}"
         connectors = tuple(parse_connectors(rest.pop("input", rest.pop("inputs", "")), default))
         axes = rest.pop("axes", rest.pop("axis", ""))
-        known = {k: rest.pop(k, None) for k in ("domain", "groupby", "resample", "align", "result")}
+        known = {k: rest.pop(k, None) for k in OPTIONS} | {"archive": flag(rest.pop("archive", None))}
         axes = ["e" if a == "ens" else a for a in (axes if isinstance(axes, list) else [axes.replace("ens", "e")])]
         return Operation(name, connectors, tuple(parse_axes("".join(axes))), params=rest, **known)
 
     def serialise(self) -> str:
         """One line of JSON that ``Operation.parse`` reads again."""
         inputs = ";".join(",".join(c.inputs) + f":{c.output}" for c in self.connectors)
-        known = {k: v for k in ("domain", "groupby", "resample", "align", "result") if (v := getattr(self, k)) is not None}
+        known = {k: v for k in (*OPTIONS, "archive") if (v := getattr(self, k))}
         return json.dumps({"name": self.name, "input": inputs, "axes": "".join(self.axes), **known, **self.params}, sort_keys=True)
 
 
@@ -158,8 +112,8 @@ class Request:
 
     @staticmethod
     def parse(spec: str | dict[str, Any]) -> Request:
-        """From text or a dictionary; ``input`` stands for ``variable`` as well. Ids must be unique and known."""
-        raw = parse_text(spec) if isinstance(spec, str) else spec
+        """From a dictionary or its JSON; ``input`` stands for ``variable`` as well. Ids must be unique and known."""
+        raw = json.loads(spec) if isinstance(spec, str) else spec
         get = lambda *names: next((raw[n] for n in names if n in raw), [])
         domains = {d.name: d for d in map(Domain.parse, get("domain", "domains"))}
         variables = tuple(map(Variable.parse, get("variable", "variables", "input")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import date
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from gridlark.operators import reduce as rd
 from gridlark.operators.eof import eof
 from gridlark.plans.workflow import Engine
 from gridlark.sources.fixtures import event_cube, month_cube, other_cube
-from gridlark.sources.readers import parse_rainfall
+from gridlark.sources.readers import Archive, Catalogue, parse_rainfall, work_folder
 from gridlark.streaming.resample import stream_totals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +50,11 @@ def tidy(c: Cube, **names: str) -> DataFrame:
     return rounded(c.df, list(c.dims))
 
 
+def thousands(c: Cube) -> Cube:
+    """The same with ``tas`` in thousands."""
+    return c.with_df(c.df.withColumn("tas", F.col("tas") / 1000))
+
+
 _MEAN = "sum({0}::decimal(18,2))::double / count(*)"
 _MONTH = "make_date(year({0})::int, month({0})::int, 1)"
 CUBE = f"""cube AS (SELECT {_MONTH.format("l_shipdate")} AS t, (-60 + 30 * (l_suppkey % 5))::double AS y, (60 * (l_partkey % 6))::double AS x,
@@ -85,8 +92,8 @@ for _op in ("ave", "mean", "max", "min", "sum", "med", "std", "var"):
     _w = (lambda v: f"sum({v} * {W}) / sum({W})") if _op == "ave" else (lambda v, o=_op: _agg(o, v))
     _reduction(f"{_op}_xy", _op, "xy", f"SELECT t, {r(_w('tas'))} AS tas, {r(_w('pr'))} AS pr FROM cube GROUP BY t")
     _inner = ", ".join(f"{_w(v)} AS {v}" for v in ("tas", "pr"))
-    if _op == "var":  # the variance of variances of prices has too many digits
-        query("var_txy", f"SELECT {r('var_pop(pr)')} AS pr FROM (SELECT t, var_pop(pr) AS pr FROM cube GROUP BY t)")(lambda s, d: tidy(rd.reduce(month_cube(s, d).select("pr"), "var", "txy")))
+    if _op == "var":  # prices in thousands: four digits of their variances' variance are then within a double
+        query("var_txy", f"SELECT {r('var_pop(tas)')} AS tas, {r('var_pop(pr)')} AS pr FROM (SELECT t, var_pop(tas / 1000) AS tas, var_pop(pr) AS pr FROM cube GROUP BY t)")(lambda s, d: tidy(rd.reduce(thousands(month_cube(s, d).select("tas", "pr")), "var", "txy")))
         continue
     _reduction(f"{_op}_txy", _op, "txy", f"SELECT {r(_agg(_op, 'tas'))} AS tas, {r(_agg(_op, 'pr'))} AS pr FROM (SELECT t, {_inner} FROM cube GROUP BY t)")
 _reduction("max_yt", "max", "yt", f"SELECT x, {r('max(tas)')} AS tas, {r('max(pr)')} AS pr FROM cube GROUP BY x")
@@ -285,8 +292,6 @@ def _(s, d):
 
 @query("best_of", f"SELECT t, y, x, {r('tas')} AS tas FROM other", OTHER)
 def _(s, d):
-    from dataclasses import replace
-
     a, b = replace(month_cube(s, d).select("tas"), attrs={"loss": "0.5"}), replace(other_cube(s, d), attrs={"loss": "0.2"})
     return tidy(combine.best_of([a, b], "min:loss"))
 
@@ -377,6 +382,44 @@ def _(s, d):
     return rounded(bioclim.world_clim(month_cube(s, d), "tasmin", "tasmax", "pr"), ["y", "x"])
 
 
+_COMPLETE = "complete AS (SELECT y, x FROM cube GROUP BY y, x HAVING count(*) = (SELECT count(DISTINCT t) FROM cube))"
+
+
+@query("eof_reconstruction", "SELECT t, y, x, floor(tas * 100 + 0.5001::double) / 100 AS tas FROM cube JOIN complete USING (y, x)", CUBE, _COMPLETE)
+def _(s, d):
+    """Maps times components, summed over all modes, and the means: the cells as they were."""
+    c = month_cube(s, d).select("tas")
+    found = eof(c, 64)
+    parts = found.maps.select("y", "x", "m", F.col("value").alias("a")).join(found.pcs.select("t", "m", F.col("value").alias("b")), "m")
+    sums = parts.groupBy("t", "y", "x").agg(F.sum(F.col("a") * F.col("b")).alias("part"))
+    out = sums.join(rd.reduce(c, "mean", "t").df, ["y", "x"])
+    return out.select("t", "y", "x", (F.floor((F.col("part") + F.col("tas")) * 100 + 0.5001).cast("double") / 100).alias("tas"))
+
+
+@query("eof_total_variance", f"SELECT {r('sum(v)')} AS variance FROM (SELECT var_pop(tas / 1000) AS v FROM cube JOIN complete USING (y, x) GROUP BY y, x)", CUBE, _COMPLETE)
+def _(s, d):
+    pcs = eof(thousands(month_cube(s, d).select("tas")), 64).pcs
+    return rounded(pcs.groupBy("m").agg(F.avg(F.col("value") * F.col("value")).alias("v")).agg(F.sum("v").alias("variance")), [])
+
+
+@query("eof_orthonormal", "SELECT a::int AS a, b::int AS b, (a = b)::int::double AS product FROM range(4) p(a), range(4) q(b) WHERE a <= b AND EXISTS (FROM complete)", CUBE, _COMPLETE)
+def _(s, d):
+    maps = eof(month_cube(s, d).select("tas"), 4).maps
+    a, b = (maps.select("y", "x", F.col("m").alias(n), F.col("value").alias(f"v{n}")) for n in "ab")
+    out = a.join(b, ["y", "x"]).where("a <= b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("product"))
+    return rounded(out, ["a", "b"])
+
+
+@query("worldclim_monthly_extremes", f"SELECT make_date(2000, m::int, 1) AS t, y, x, {r('max(hi)')} AS tmax, {r('min(lo)')} AS tmin, {r('avg(wet)')} AS moist FROM (SELECT t::date AS day, any_value(month(t)) AS m, y, x, max(v) AS hi, min(v) AS lo, avg(v) AS wet FROM ev GROUP BY t::date, y, x) GROUP BY m, y, x", EVENTS)
+def _(s, d):
+    return tidy(bioclim.monthly_extremes(event_cube(s, d), "v", "v"))
+
+
+@query("worldclim_kelvin", f"SELECT y, x, {r('avg(v - 273.15::double)')} AS v FROM ev GROUP BY y, x", EVENTS)
+def _(s, d):
+    return tidy(rd.reduce(bioclim.celsius(event_cube(s, d), "v", "Kelvin"), "mean", "t"))
+
+
 @query("eof_variance", None)
 def _(s, d):
     found = eof(month_cube(s, d).select("tas"), 8)
@@ -399,9 +442,11 @@ def _(s, d):
 @query("workflow_seasonal_cycle", f"SELECT y AS lat, x AS lon, month(t) AS mode, {r('avg(tas)')} AS v FROM cube WHERE y BETWEEN -30 AND 60 GROUP BY ALL")
 def _(s, d):
     engine = Engine(s, cubes={"model": month_cube(s, d)})
-    request = """[domain=[{"name":"d0","lat":{"start":-30,"end":60,"system":"values"}}],
-      variable=[{"uri":"view:model","name":"tas:v0","domain":"d0"}],
-      operation=[{"name":"cube.ave","axes":"t","input":"v0","groupby":"t.month"}]]"""
+    request = {
+        "domain": [{"name": "d0", "lat": {"start": -30, "end": 60, "system": "values"}}],
+        "variable": [{"uri": "view:model", "name": "tas:v0", "domain": "d0"}],
+        "operation": [{"name": "cube.ave", "axes": "t", "input": "v0", "groupby": "t.month"}],
+    }
     (df,) = engine.frames(request).values()
     return rounded(df.withColumnRenamed("ave[v0]", "v"), ["lat", "lon"])
 
@@ -432,9 +477,158 @@ def _(s, d):
     return rounded(df.withColumnRenamed("anomaly[ave[v0]]", "v"), ["time", "lat", "lon"])
 
 
-@query("capabilities", None)
+def _request(s: SparkSession, d: str, engine: Engine, variable: dict, *operations: dict, domain: dict | None = None) -> Cube:
+    """The one cube that a request gives."""
+    ((cube,),) = engine.run({"domain": [domain] if domain else [], "variable": [variable], "operation": list(operations)}).values()
+    return cube
+
+
+_V0 = {"uri": "view:model", "name": "tas:v0"}
+
+
+@query("workflow_subset_noop", f"SELECT t, y, {r('tas')} AS tas FROM cube WHERE y BETWEEN 0 AND 60 AND x = 60")
+def _(s, d):
+    box = {"name": "box", "lat": _v(0, 60), "lon": 70}
+    c = _request(s, d, Engine(s, cubes={"model": month_cube(s, d)}), _V0, {"name": "cube.subset", "input": "v0:part", "domain": "box"}, {"name": "cube.noop", "input": "part"}, domain=box)
+    return tidy(c, tas="noop[subset[v0]]")
+
+
+@query("workflow_groupby_anomaly", f"SELECT t, y, x, {r('tas - avg(tas) OVER (PARTITION BY y, x, year(t))')} AS tas FROM cube")
+def _(s, d):
+    return tidy(_request(s, d, Engine(s, cubes={"model": month_cube(s, d)}), _V0, {"name": "cube.anomaly", "axes": "t", "input": "v0", "groupby": "t.year"}), tas="anomaly[v0]")
+
+
+@query("workflow_resample_lowpass", f"SELECT t, y, x, {r('avg(tas) OVER (PARTITION BY y, x ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)')} AS tas FROM (SELECT make_date(year(t)::int, 12, 31) AS t, y, x, avg(tas) AS tas FROM cube GROUP BY ALL)")
+def _(s, d):
+    return tidy(_request(s, d, Engine(s, cubes={"model": month_cube(s, d)}), _V0, {"name": "cube.lowpass", "axes": "t", "input": "v0", "resample": "year", "wsize": 3}), tas="lowpass[v0]")
+
+
+@query("workflow_smooth_dense", f"SELECT t, {r('0.13::double * coalesce(lag(tas, 2) OVER w, 0) + 0.23::double * coalesce(lag(tas, 1) OVER w, 0) + 0.28::double * tas + 0.23::double * coalesce(lead(tas, 1) OVER w, 0) + 0.13::double * coalesce(lead(tas, 2) OVER w, 0)')} AS tas FROM (SELECT t, avg(tas) AS tas FROM cube GROUP BY t) WINDOW w AS (ORDER BY t)")
+def _(s, d):
+    c = _request(s, d, Engine(s, cubes={"model": month_cube(s, d)}), _V0, {"name": "cube.mean", "axes": "xy", "input": "v0:m"}, {"name": "cube.smooth", "input": "m", "dense": True})
+    return tidy(c, tas="smooth[mean[v0]]")
+
+
+@query("ensemble_two_grids", f"SELECT t, y, x, {r('avg(tas)')} AS tas FROM (SELECT t, y, x, tas FROM cube WHERE y IN (-60, 0, 60) AND x IN (0, 120, 240) UNION ALL SELECT * FROM coarse) GROUP BY t, y, x", CUBE, COARSE)
+def _(s, d):
+    engine = Engine(s, cubes={"a": month_cube(s, d), "b": other_cube(s, d, 3)})
+    ((c,),) = engine.run({"variable": [{"uri": "view:a", "name": "tas:v0"}, {"uri": "view:b", "name": "tas:v1"}], "operation": [{"name": "cube.ave", "axes": "e", "input": "v0,v1"}]}).values()
+    return tidy(c, tas="ave[v0]")
+
+
+@query("workflow_sibling_domains", f"SELECT a.t, a.y, a.x, {r('b.tas - a.tas')} AS tas {_both} WHERE a.y BETWEEN 0 AND 30", CUBE, OTHER)
+def _(s, d):
+    engine = Engine(s, cubes={"a": month_cube(s, d), "b": other_cube(s, d)})
+    ((c,),) = engine.run({"domain": [{"name": "d", "lat": _v(0, 30)}], "variable": [{"uri": "view:a", "name": "tas:v0", "domain": "d"}, {"uri": "view:b", "name": "tas:v1"}], "operation": [{"name": "cube.diff", "input": "v1,v0"}]}).values()
+    return tidy(c, tas="diff[v1]")
+
+
+@query("workflow_best_result", f"SELECT t, y, x, {r('tas')} AS tas FROM other", OTHER)
+def _(s, d):
+    engine = Engine(s, cubes={"a": replace(month_cube(s, d), attrs={"loss": "0.5"}), "b": replace(other_cube(s, d), attrs={"loss": "0.2"})})
+    ((c,),) = engine.run({"variable": [{"uri": "view:a", "name": "tas:v0"}, {"uri": "view:b", "name": "tas:v1"}], "operation": [{"name": "cube.noop", "input": "v0,v1", "merge": "min:loss"}]}).values()
+    return tidy(c, tas="noop[v1]")
+
+
+@query("workflow_kept_input", f"SELECT t, {r('max(tas)')} AS tas FROM cube WHERE year(t) = 1996 GROUP BY t")
+def _(s, d):
+    engine = Engine(s, cubes={"model": month_cube(s, d)})
+    year = {"name": "d", "time": _v("1996-01-01", "1996-12-31")}
+    _request(s, d, engine, _V0 | {"domain": "d", "cache": "opt"}, {"name": "cube.noop", "input": "v0"}, domain=year)
+    engine.cubes.clear()  # the second request has only what the first one kept
+    return tidy(_request(s, d, engine, _V0 | {"domain": "d", "cache": "req"}, {"name": "cube.max", "axes": "xy", "input": "v0"}, domain=year), tas="max[v0]")
+
+
+@query("cache_as_view", f"SELECT y, x, {r('min(tas)')} AS tas FROM cube GROUP BY y, x")
+def _(s, d):
+    engine = Engine(s, cubes={"model": month_cube(s, d)})
+    _request(s, d, engine, _V0, {"name": "cube.cache", "input": "v0", "result": "kept_cube"})
+    c = _request(s, d, Engine(s), {"uri": "view:kept_cube", "name": "v0"}, {"name": "cube.min", "axes": "t", "input": "v0"})
+    return tidy(c, tas="min[v0]")
+
+
+_step = "SELECT v FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT {0} AS v FROM cube{1})) WHERE i % {2} = 0"
+_region("subset_step", f"y IN ({_step.format('y', '', 2)}) AND t IN ({_step.format('t', chr(32) + 'WHERE year(t) = 1996', 5)})", lat={"start": -60, "end": 60, "system": "values", "step": 2}, time={"start": "1996-01-01", "end": "1996-12-31", "system": "values", "step": 5})
+_region("subset_named_axis", "y BETWEEN 0 AND 30", names={"breite": "lat"}, breite=_v(0, 30))
+
+
+@query("variables_by_pattern", f"SELECT x, y, t, {r('tasmin')} AS tasmin, {r('tasmax')} AS tasmax FROM cube")
+def _(s, d):
+    return tidy(month_cube(s, d).matching("^tasm").transpose("x", "y", "t"))
+
+
+@query("archive_season", f"SELECT y, x, {_season.format('t')} AS season, {r('avg(tas)')} AS tas FROM cube GROUP BY ALL")
+def _(s, d):
+    engine = Engine(s, archive=Archive(work_folder(s, "archive")), cubes={"model": month_cube(s, d)})
+    return tidy(_request(s, d, engine, _V0, {"name": "cube.ave", "axes": "t", "input": "v0", "groupby": "t.season", "result": "r", "archive": True}), tas="ave[v0]")
+
+
+@query("archive_range", f"SELECT t, {r('max(tas)')} AS tas FROM cube WHERE t BETWEEN date '1996-05-01' AND date '1997-04-30' GROUP BY t")
+def _(s, d):
+    archive = Archive(work_folder(s, "archive"))
+    archive.save(month_cube(s, d).select("tas"), "model")
+    time = {"name": "d", "time": _v("1996-05-01", "1997-04-30")}
+    return tidy(_request(s, d, Engine(s, archive=archive), {"uri": "archive:model", "name": "tas:v0", "domain": "d"}, {"name": "cube.max", "axes": "xy", "input": "v0"}, domain=time), tas="max[v0]")
+
+
+@query("collection_range", f"SELECT t, {r('avg(pr)')} AS pr FROM cube WHERE t BETWEEN date '1996-05-01' AND date '1997-04-30' GROUP BY t")
+def _(s, d):
+    catalogue = _catalogue(s, d)
+    time = {"name": "d", "time": _v("1996-05-01", "1997-04-30")}
+    return tidy(_request(s, d, Engine(s, catalogue=catalogue), {"uri": "collection:years", "name": "pr:v0", "domain": "d"}, {"name": "cube.mean", "axes": "xy", "input": "v0"}, domain=time), pr="mean[v0]")
+
+
+def _catalogue(s: SparkSession, d: str) -> Catalogue:
+    """A collection of a file a year, written to the shared folder."""
+    folder = work_folder(s, "catalogue")
+    Archive(folder, "files", "years").save(month_cube(s, d).select("tas", "pr"), "model")
+    records = ["A;time;t;83", "A;lat;y;5", "A;lon;x;6", "V;tas;K;t y x", "V;pr;mm;t y x"]
+    for year in range(1995, 2002):
+        minutes = (date(year, 1, 1) - date(1970, 1, 1)).days * 1440
+        records.append(f"F;{minutes};1000;{folder}/files/years/model/_year={year}")
+    s.createDataFrame([(x,) for x in records], "value string").coalesce(1).write.text(f"{folder}/model.ag1")
+    catalogue = Catalogue(folder)
+    catalogue.write(s, "years", {"tas": "model", "pr": "model"}, {"title": "months"})
+    return catalogue
+
+
+@query("collection_listing", "SELECT * FROM (VALUES ('tas', 'model', 7, 7000::bigint, 'time:83 lat:5 lon:6', 'K t y x'), ('pr', 'model', 7, 7000::bigint, 'time:83 lat:5 lon:6', 'mm t y x')) v(variable, aggregation, n_files, n_bytes, axes, shape)", "")
+def _(s, d):
+    return _catalogue(s, d).listing(s, "years")
+
+
+#: Operations as they are offered: name, what must be given, what may be.
+_OFFERED = """
+ave||axes,groupby,resample
+anomaly||axes,groupby,resample
+cache|result|
+decycle||groupby,norm
+detrend||wsize,dense
+diff||
+eof||modes,center
+filter|sel.*|
+lowpass||wsize,dense
+max||axes,groupby,resample
+mean||axes,groupby,resample
+med||axes,groupby,resample
+min||axes,groupby,resample
+noop||
+norm||axes,groupby,resample
+regrid|gridder|
+smooth||dense
+std||axes,groupby,resample
+subset||
+sum||axes,groupby,resample
+telemap|lat,lon|
+timeAgg||period,op
+timeResample||freq,op,fill
+var||axes,groupby,resample
+worldClim||minTemp,maxTemp,temp,moist,hscale,tscale,wrap,units,version"""
+
+
+@query("capabilities", "SELECT 'operation' AS kind, * FROM (VALUES " + ", ".join("('" + "', '".join(x.split("|")) + "')" for x in _OFFERED.split()) + ") v(name, required, optional)", "")
 def _(s, d):
-    return Engine(s).capabilities()
+    return Engine(s).capabilities().drop("title")
 
 
 @query("rainfall_text", f"SELECT make_date(year(t)::int, month(t)::int, 15) AS t, 'month' AS series, {r('round(sum(pr), 1)')} AS value FROM (SELECT t, round(pr, 1) AS pr FROM cube WHERE y = 0 AND x = 0) GROUP BY ALL UNION ALL SELECT make_date(y, 6, 15), 'ANN', {r('count(*)::double')} FROM (SELECT year(t)::int AS y FROM cube WHERE y = 0 AND x = 0) GROUP BY y")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +57,17 @@ def parse_variables(names: str | list[str]) -> list[tuple[str, str]]:
     return out
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one all executors share (``spark.checkpoint.dir``); a local master may go without that setting."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="gridlark-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Parquet, CSV or JSON by the ending of a path, a folder or a glob."""
     low = path.rstrip("/*").lower()
@@ -70,6 +84,8 @@ class Catalogue:
 
     folder: str
     options: dict[str, str] = field(default_factory=dict)
+    remap: dict[str, str] = field(default_factory=dict)  # how paths begin in the records, and here
+    most_partitions: int | None = None  # of a read; by default as many as the files' sizes ask for
 
     def collection(self, spark: SparkSession, name: str) -> dict[str, str]:
         """Variable -> aggregation, from ``<name>.csv``: ``#key,value`` lines and ``variable,aggregation`` rows."""
@@ -107,7 +123,8 @@ class Catalogue:
             lo = 0 if start_minutes is None else max([0, *(k for k, s in enumerate(begins) if s <= start_minutes)])
             hi = len(files) if end_minutes is None else sum(s <= end_minutes for s in begins)
             files = files[lo:hi]
-        return [p if re.match(r"[a-z]+:|/", p) else f"{base}/{p}" for _, p in files]
+        paths = [p if re.match(r"[a-z]+:|/", p) else f"{base}/{p}" for _, p in files]
+        return [next((self.remap[k] + p[len(k) :] for k in sorted(self.remap, key=len, reverse=True) if p.startswith(k)), p) for p in paths]
 
     def open(self, spark: SparkSession, name: str, variables: list[str], start_minutes: float | None = None, end_minutes: float | None = None) -> dict[str, DataFrame]:
         """One read per aggregation, of the files that can meet the range; columns are pruned by use."""
@@ -117,16 +134,22 @@ class Catalogue:
         out = {}
         for aggregation in dict.fromkeys(where[v] for v in variables):
             paths = self.files(spark, aggregation, start_minutes, end_minutes)
-            out[aggregation] = spark.read.parquet(*paths)
+            read = spark.read.parquet(*paths)
+            out[aggregation] = read.coalesce(self.most_partitions) if self.most_partitions else read
         return out
 
     def listing(self, spark: SparkSession, name: str) -> DataFrame:
-        """A row per variable of a collection: its aggregation, number of files and total size."""
-        rows = []
+        """A row per variable of a collection: its aggregation, number of files and total size, axes and what its record says."""
+        rows, seen = [], {}
         for variable, aggregation in self.collection(spark, name).items():
-            files = [f for f in self.aggregation(spark, aggregation)["F"] if len(f) >= 3]
-            rows.append((variable, aggregation, len(files), sum(int(float(f[1])) for f in files)))
-        return spark.createDataFrame(rows, "variable string, aggregation string, n_files int, n_bytes long")
+            if aggregation not in seen:
+                seen[aggregation] = self.aggregation(spark, aggregation)
+            records = seen[aggregation]
+            files = [f for f in records["F"] if len(f) >= 3]
+            axes = " ".join(f"{a[0]}:{a[-1]}" for a in records["A"] if a)
+            says = next((" ".join(v[1:]) for v in records["V"] if v and v[0] == variable), None)
+            rows.append((variable, aggregation, len(files), sum(int(float(f[1])) for f in files), axes, says))
+        return spark.createDataFrame(rows, "variable string, aggregation string, n_files int, n_bytes long, axes string, shape string")
 
     def write(self, spark: SparkSession, name: str, variables: dict[str, str], options: dict[str, str] | None = None) -> None:
         lines = [f"#{k},{v}" for k, v in (options or {}).items()] + [f"{v},{a}" for v, a in variables.items()]
@@ -149,18 +172,32 @@ class Archive:
         return "/".join([self.base.rstrip("/"), *[self.project, self.experiment][: 3 - len(parts)], *parts])
 
     def save(self, cube: Cube, result: str) -> str:
-        """Write a cube, partitioned by year if it has a time axis so that ranges prune files."""
-        df, path = cube.df, self.path(result)
+        """Write a cube with its dimensions, variables and attributes; one with a time axis is partitioned by year, so that ranges prune files."""
+        df, path = cube.df.select(*cube.dims, *[cube.value(v) for v in cube.variables]), self.path(result)
         if "t" in cube.dims:
-            df.withColumn("year", F.year("t")).write.mode("overwrite").partitionBy("year").parquet(path)
+            df.withColumn("_year", F.year("t")).write.mode("overwrite").partitionBy("_year").parquet(path)
         else:
             df.write.mode("overwrite").parquet(path)
+        meta = json.dumps({"dims": cube.dims, "variables": cube.variables, "attrs": cube.attrs})
+        cube.df.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{path}/_meta")
         return path
 
-    def open(self, spark: SparkSession, result: str, variables: list[str] | None = None) -> Cube:
-        df = spark.read.parquet(self.path(result))
-        df = df.drop("year") if "year" in df.columns else df
-        return Cube.of(df, variables=variables)
+    def open(self, spark: SparkSession, result: str, variables: list[str] | None = None, years: tuple[int | None, int | None] = (None, None)) -> Cube:
+        """A saved cube as it was; ``years`` read the partitions of a range only. Other Parquet is read by its columns' names."""
+        path = self.path(result)
+        df = spark.read.parquet(path)
+        if "_year" in df.columns:
+            for year, keep in zip(years, (lambda y: F.col("_year") >= y, lambda y: F.col("_year") <= y), strict=True):
+                df = df if year is None else df.where(keep(year))
+            df = df.drop("_year")
+        try:
+            meta = json.loads(spark.read.text(f"{path}/_meta/part-*").first()["value"])
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return Cube.of(df, variables=variables)
+        cube = Cube(df.select(*[f"`{c}`" for c in (*meta["dims"], *meta["variables"])]), tuple(meta["dims"]), tuple(meta["variables"]), meta["attrs"])
+        return cube.select(*variables) if variables else cube
 
 
 #: Seasonal columns of the rainfall tables with the month they are stamped at.

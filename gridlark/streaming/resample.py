@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlark.sources.readers import work_folder
+
 
 def windowed(stream: DataFrame, time: str, keys: list[str], aggregates: dict, window: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Tumbling (or sliding) windows of a stream; rows later than the watermark are dropped, and state with it."""
@@ -32,21 +31,12 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.parquet(out)
 
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="gridlark-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and sum of events a day and type, by a stream over the table's files."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     totals = windowed(stream, "ts", ["event_type"], {"n": F.count(F.lit(1)), "s": F.sum(F.col("value").cast("decimal(18,2)"))})
-    out = run_available(totals, _folder(spark))
+    out = run_available(totals, work_folder(spark, "stream"))
     total = F.floor(F.col("s").cast("double") * 100 + 0.5).cast("double") / 100
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", total.alias("total"))

@@ -196,3 +196,33 @@ def test_arithmetic_and_merges(spark):
     with pytest.raises(ValueError):
         combine.merge([a, b])
     assert combine.ensemble([a, b]).shape()["e"] == 2
+
+
+def test_eof_by_iteration_equals_the_decomposition(spark, monkeypatch):
+    from gridlark.operators import eof as module
+
+    rng = np.random.default_rng(17)
+    values = {(t, float(s), 0.0): float(rng.normal() * (5 if s < 3 else 1) + (3 * math.sin(t) if s % 2 else 0)) for t in range(40) for s in range(15)}
+    whole = module.eof(make(spark, values), 3)
+    monkeypatch.setattr(module, "MAX_STEPS", 10)
+    found = module.eof(make(spark, values), 3)
+    assert np.allclose(found.fractions, whole.fractions, atol=1e-8)
+    a, b = ({(r["m"], r["y"]): r["value"] for r in f.maps.collect()} for f in (found, whole))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-4 for k in a)
+    cube = Cube(found.pcs.withColumnRenamed("value", "pcs"), ("t", "m"), ("pcs",))
+    apart = module.by_mode(cube)
+    assert sorted(apart) == [0, 1, 2] and apart[0].dims == ("t",) and apart[0].size() == 40
+    assert module.maps_and_components([cube, apart[0], Cube(found.maps, ("y", "x", "m"), ("value",))])[0][0].dims == ("y", "x", "m")
+
+
+def test_complete_cubes_are_not_densified(spark):
+    cube = make(spark, {(t, y, 0.0): 1.0 for t in range(4) for y in (0.0, 1.0)})
+    assert rolling.densify(cube) is cube
+    assert rolling.densify(cube.with_df(cube.df.where("y = 0 or day(t) > 1"))).size() == 8
+
+
+def test_cubes_that_share_no_dimension_do_not_match(spark):
+    a = make(spark, {(0, 0.0, 0.0): 6.0})
+    with pytest.raises(ValueError):
+        combine.diff(rd.reduce(a, "mean", "xy"), rd.reduce(a, "mean", "t"))
+    assert combine.diff(a, rd.reduce(a, "mean", "txy")).df.first()["v"] == 0.0
