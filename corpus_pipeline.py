@@ -2,7 +2,11 @@
 
 Each stage reads all that the one before it kept, as Parquet in the shared
 folder, and its decisions take effect. The columns stay those of ``documents``
-until the last stage, which deals the rows into shards.
+until the last stage, which deals the rows into shards; others that the table
+may have are left out. Nulls: a document without text has no language and goes
+at the first stage; without doc_id it is never a near-duplicate; without source
+it is of a source of its own. Repeated rows are one row after ``near_dedup``
+(those without doc_id stay). Very long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,9 +39,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near-duplicates (80 % of five-word shingles)."""
-    gone = near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keep the first document of each group of near-duplicates (80 % of five-word shingles), in one row."""
+    found = near_duplicates(docs, percent=80)
+    gone = found.where("not kept").select("doc_id").distinct()
+    docs = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.limit(1).count():
+        return docs
+    # of rows with one doc_id the least stays, by its columns in order
+    row = F.struct(*[c for c in COLUMNS if c != "doc_id"])
+    least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*")
+    return docs.join(again, "doc_id", "left_anti").unionByName(least)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
