@@ -52,6 +52,15 @@ def gram_counts(text: str) -> np.ndarray | None:
     return total if any_letter else None
 
 
+def sparse(text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The places a text has n-grams at, and their counts."""
+    counts = gram_counts(text)
+    if counts is None:
+        return None
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
 @dataclass
 class Model:
     """Bounded: 2 ** BITS weights for each of ``langs``."""
@@ -62,14 +71,13 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
-    def vector(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(counts)
-        x = (1 + np.log(counts[at])) * self.idf[at]
-        return at, x / (np.sqrt((x * x).sum()) or 1.0)
+    def vector(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The TF-IDF values, of unit length, at the places that have counts."""
+        x = (1 + np.log(counts)) * self.idf[at]
+        return x / (np.sqrt((x * x).sum()) or 1.0)
 
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        at, x = self.vector(counts)
-        return x @ self.weights[at] + self.bias
+    def logits(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return self.vector(at, counts) @ self.weights[at] + self.bias
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -114,8 +122,9 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     Document frequencies are counted over all rows, in the tasks that read
     them. The regression is fitted on a seeded sample of about ``sample`` rows a
     language (each row by its own chance, so no sort and no hot language), of
-    which every fifth is kept for the temperature. The sample is dealt into
-    shards of about ``SHARD`` rows; each trains for itself, and the mean of
+    which every fifth is kept for the temperature. Sampled texts become counts
+    of n-grams, at most one a place, before they are dealt into
+    shards of about ``SHARD`` rows: a very long text is not held by a shard. Each shard trains for itself, and the mean of
     their weights is the model. What reaches the driver is the counts,
     weights and losses, bounded by places and languages. Null texts, texts without a letter and null
     languages teach nothing; no rows give a model of no language.
@@ -131,8 +140,8 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         df, n = np.zeros(1 << BITS, np.int64), 0
         for batch in slices(batches):
             for t in batch.column(0).to_pylist():
-                if (c := gram_counts(t)) is not None:
-                    df += c > 0
+                if (c := sparse(t)) is not None:
+                    df[c[0]] += 1
                     n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *df[at].tolist()], pa.int64())], names=["place", "n"])
@@ -147,14 +156,22 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     chance = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample / counts[k]))]), F.col("lang"))
     chosen = rows.where(_unit(F.col("id"), F.col("lang")) < chance)
     chosen = chosen.withColumn("held", _unit(F.lit("held"), F.col("id")) < 0.2).withColumn("order", F.xxhash64(F.lit("order"), "id"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [sparse(t) for t in batch.column(4).to_pylist()]
+            at = np.flatnonzero([c is not None for c in found])
+            part = batch.take(pa.array(at)).columns[:4]
+            yield pa.RecordBatch.from_arrays([*part, *[pa.array([found[i][k] for i in at], pa.list_(pa.int32())) for k in (0, 1)]], names=["order", "id", "lang", "held", "places", "counts"])
+
+    kind = chosen.schema["id"].dataType.simpleString()
+    chosen = chosen.select("order", "id", "lang", "held", "text").mapInArrow(counted, f"order long, id {kind}, lang string, held boolean, places array<int>, counts array<int>")
     size = sum(min(sample, c) for c in counts.values())
     shards = max(1, round(size / SHARD))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        data = []
-        for t, g in group.sort_values(["order", "id", "lang"])[["text", "lang"]].itertuples(index=False, name=None):
-            if (c := gram_counts(t)) is not None:
-                data.append((langs.index(g), *base.vector(c)))
+        rows = group.sort_values(["order", "id", "lang"])[["lang", "places", "counts"]].itertuples(index=False, name=None)
+        data = [(langs.index(g), at, base.vector(at, n)) for g, at, n in rows]
         w, b = ftrl(data, len(langs), epochs, alpha, beta, l1, l2)
         at, k = np.nonzero(w)
         return pd.DataFrame({"place": [*at.tolist(), *[-1] * len(langs)], "k": [*k.tolist(), *range(len(langs))], "w": [*w[at, k].tolist(), *b.tolist()]})
@@ -177,14 +194,13 @@ def _temperature(held: DataFrame, model: Model) -> float:
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(grid))
         for batch in slices(batches):
-            for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if (c := gram_counts(t)) is not None:
-                    z = model.logits(c)[None, :] / grid[:, None]
-                    z = z - z.max(axis=1, keepdims=True)
-                    sums += np.log(np.exp(z).sum(axis=1)) - z[:, model.langs.index(g)]
+            for g, at, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                z = model.logits(np.array(at, np.int64), np.array(n))[None, :] / grid[:, None]
+                z = z - z.max(axis=1, keepdims=True)
+                sums += np.log(np.exp(z).sum(axis=1)) - z[:, model.langs.index(g)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(sums, pa.float64())], names=["k", "loss"])
 
-    found = held.select("text", "lang").mapInArrow(losses, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).toPandas()
+    found = held.select("lang", "places", "counts").mapInArrow(losses, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).toPandas()
     if not len(found) or not found["loss"].sum():
         return 1.0
     return float(grid[int(found.sort_values(["loss", "k"])["k"].iloc[0])])
@@ -209,8 +225,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
         for batch in slices(batches):
             out, scores = [], []
             for t in batch.column(at).to_pylist():
-                c = gram_counts(t) if t and m.langs else None
-                p = None if c is None else softmax(m.logits(c) / m.temperature)
+                c = sparse(t) if t and m.langs else None
+                p = None if c is None else softmax(m.logits(*c) / m.temperature)
                 out.append(UNKNOWN if p is None else m.langs[int(p.argmax())])
                 scores.append(0.0 if p is None else float(p.max()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
