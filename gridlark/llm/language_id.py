@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -17,7 +17,9 @@ from gridlark.llm.common import carried, slices
 #: n-grams of one to three characters share 2 ** BITS places.
 BITS, ORDERS = 15, (1, 2, 3)
 #: A longer text is hashed in pieces of so many characters; n-grams across their edges are counted too.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: How the sample's places and counts are packed.
+PACKED = (np.uint16, np.int32)
 #: A training sample has about this many documents of each language.
 SAMPLE = 1500
 #: Documents of the sample a task trains on, at most about so many.
@@ -61,6 +63,10 @@ def sparse(text: str) -> tuple[np.ndarray, np.ndarray] | None:
     return at, counts[at]
 
 
+def unpacked(places: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(places, PACKED[0]).astype(np.int64), np.frombuffer(counts, PACKED[1])
+
+
 @dataclass
 class Model:
     """Bounded: 2 ** BITS weights for each of ``langs``."""
@@ -85,8 +91,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Follow the regularised leader, per coordinate, with elastic-net penalties."""
+def ftrl(rows: Callable[[], Iterable[tuple[int, np.ndarray, np.ndarray]]], classes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Follow the regularised leader, per coordinate, with elastic-net penalties; ``rows`` gives the rows anew for each epoch."""
     places = (1 << BITS) + 1  # the last one is the bias, which has no penalty
     z, n = np.zeros((places, classes)), np.zeros((places, classes))
 
@@ -98,7 +104,7 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epochs: i
         return np.where(np.abs(za) <= small, 0.0, w)
 
     for _ in range(epochs):
-        for label, at, x in rows:
+        for label, at, x in rows():
             at, x = np.append(at, places - 1), np.append(x, 1.0)
             w = weights(at)
             error = softmax(x @ w)
@@ -161,17 +167,23 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         for batch in slices(batches):
             found = [sparse(t) for t in batch.column(4).to_pylist()]
             at = np.flatnonzero([c is not None for c in found])
-            part = batch.take(pa.array(at)).columns[:4]
-            yield pa.RecordBatch.from_arrays([*part, *[pa.array([found[i][k] for i in at], pa.list_(pa.int32())) for k in (0, 1)]], names=["order", "id", "lang", "held", "places", "counts"])
+            part = batch.select(range(4)).take(pa.array(at)).columns
+            packed = [pa.array([found[i][k].astype(t).tobytes() for i in at], pa.binary()) for k, t in enumerate(PACKED)]
+            yield pa.RecordBatch.from_arrays([*part, *packed], names=["order", "id", "lang", "held", "places", "counts"])
 
     kind = chosen.schema["id"].dataType.simpleString()
-    chosen = chosen.select("order", "id", "lang", "held", "text").mapInArrow(counted, f"order long, id {kind}, lang string, held boolean, places array<int>, counts array<int>")
+    chosen = chosen.select("order", "id", "lang", "held", "text").mapInArrow(counted, f"order long, id {kind}, lang string, held boolean, places binary, counts binary")
     size = sum(min(sample, c) for c in counts.values())
     shards = max(1, round(size / SHARD))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["order", "id", "lang"])[["lang", "places", "counts"]].itertuples(index=False, name=None)
-        data = [(langs.index(g), at, base.vector(at, n)) for g, at, n in rows]
+        rows = list(group.sort_values(["order", "id", "lang"])[["lang", "places", "counts"]].itertuples(index=False, name=None))
+
+        def data() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for g, *packed in rows:  # unpacked a row at a time, in each epoch
+                at, n = unpacked(*packed)
+                yield langs.index(g), at, base.vector(at, n)
+
         w, b = ftrl(data, len(langs), epochs, alpha, beta, l1, l2)
         at, k = np.nonzero(w)
         return pd.DataFrame({"place": [*at.tolist(), *[-1] * len(langs)], "k": [*k.tolist(), *range(len(langs))], "w": [*w[at, k].tolist(), *b.tolist()]})
@@ -194,8 +206,8 @@ def _temperature(held: DataFrame, model: Model) -> float:
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(grid))
         for batch in slices(batches):
-            for g, at, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                z = model.logits(np.array(at, np.int64), np.array(n))[None, :] / grid[:, None]
+            for g, *packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                z = model.logits(*unpacked(*packed))[None, :] / grid[:, None]
                 z = z - z.max(axis=1, keepdims=True)
                 sums += np.log(np.exp(z).sum(axis=1)) - z[:, model.langs.index(g)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(sums, pa.float64())], names=["k", "loss"])

@@ -54,10 +54,10 @@ def test_ftrl_separates_and_l1_makes_zeros():
     for k in range(300):
         at = np.array(sorted({int(rng.integers(10)) + 10 * (k % 3), 40 + int(rng.integers(20))}))
         rows.append((k % 3, at, np.ones(len(at))))
-    w, b = li.ftrl(rows, 3, 5, 0.5, 1.0, 0.01, 0.001)
+    w, b = li.ftrl(lambda: rows, 3, 5, 0.5, 1.0, 0.01, 0.001)
     assert all(int((x @ w[at] + b).argmax()) == y for y, at, x in rows)
     dense = np.count_nonzero(w)
-    assert np.count_nonzero(li.ftrl(rows, 3, 5, 0.5, 1.0, 2.0, 0.001)[0]) < dense
+    assert np.count_nonzero(li.ftrl(lambda: rows, 3, 5, 0.5, 1.0, 2.0, 0.001)[0]) < dense
 
 
 def naive_counts(text):
