@@ -165,14 +165,15 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [sparse(t) for t in batch.column(4).to_pylist()]
+            found = [sparse(t) for t in batch.column(3).to_pylist()]
             at = np.flatnonzero([c is not None for c in found])
-            part = batch.select(range(4)).take(pa.array(at)).columns
+            part = batch.select(range(3)).take(pa.array(at)).columns
             packed = [pa.array([found[i][k].astype(t).tobytes() for i in at], pa.binary()) for k, t in enumerate(PACKED)]
-            yield pa.RecordBatch.from_arrays([*part, *packed], names=["order", "id", "lang", "held", "places", "counts"])
+            yield pa.RecordBatch.from_arrays([*part, *packed], names=["order", "id", "lang", "places", "counts"])
 
+    held = chosen.where("held").select("lang", "text")
     kind = chosen.schema["id"].dataType.simpleString()
-    chosen = chosen.select("order", "id", "lang", "held", "text").mapInArrow(counted, f"order long, id {kind}, lang string, held boolean, places binary, counts binary")
+    chosen = chosen.where("not held").select("order", "id", "lang", "text").mapInArrow(counted, f"order long, id {kind}, lang string, places binary, counts binary")
     size = sum(min(sample, c) for c in counts.values())
     shards = max(1, round(size / SHARD))
 
@@ -188,7 +189,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         at, k = np.nonzero(w)
         return pd.DataFrame({"place": [*at.tolist(), *[-1] * len(langs)], "k": [*k.tolist(), *range(len(langs))], "w": [*w[at, k].tolist(), *b.tolist()]})
 
-    parts = chosen.where("not held").withColumn("shard", F.pmod(F.col("order"), F.lit(shards))).groupBy("shard").applyInPandas(fit, "place int, k int, w double")
+    parts = chosen.withColumn("shard", F.pmod(F.col("order"), F.lit(shards))).groupBy("shard").applyInPandas(fit, "place int, k int, w double")
     found = parts.groupBy("place", "k").agg(F.sum("w").alias("w")).toPandas()
     weights, bias = np.zeros((1 << BITS, len(langs))), np.zeros(len(langs))
     is_bias = (found["place"] == -1).to_numpy()
@@ -196,7 +197,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     weights[inner["place"].to_numpy(), inner["k"].to_numpy()] = np.round(inner["w"].to_numpy() / shards, 9)
     bias[outer["k"].to_numpy()] = np.round(outer["w"].to_numpy() / shards, 9)
     model = replace(base, weights=weights, bias=bias)
-    return replace(model, temperature=_temperature(chosen.where("held"), model))
+    return replace(model, temperature=_temperature(held, model))
 
 
 def _temperature(held: DataFrame, model: Model) -> float:
@@ -206,13 +207,14 @@ def _temperature(held: DataFrame, model: Model) -> float:
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(grid))
         for batch in slices(batches):
-            for g, *packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                z = model.logits(*unpacked(*packed))[None, :] / grid[:, None]
-                z = z - z.max(axis=1, keepdims=True)
-                sums += np.log(np.exp(z).sum(axis=1)) - z[:, model.langs.index(g)]
+            for g, t in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                if (c := sparse(t)) is not None:
+                    z = model.logits(*c)[None, :] / grid[:, None]
+                    z = z - z.max(axis=1, keepdims=True)
+                    sums += np.log(np.exp(z).sum(axis=1)) - z[:, model.langs.index(g)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(sums, pa.float64())], names=["k", "loss"])
 
-    found = held.select("lang", "places", "counts").mapInArrow(losses, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).toPandas()
+    found = held.mapInArrow(losses, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).toPandas()
     if not len(found) or not found["loss"].sum():
         return 1.0
     return float(grid[int(found.sort_values(["loss", "k"])["k"].iloc[0])])
