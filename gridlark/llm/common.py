@@ -64,6 +64,28 @@ class Scratch:
         delete_folder(self.spark, self.folder)
 
 
+#: Bits of a filter that tells which rows a join can concern.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(wanted: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(_filter_at, _filter_mask): the bits that the keys of a table set, in words of 32; of at most FILTER_BITS / 32 rows, whatever the table."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("_filter_at"))
+    return scratch.table(words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("_filter_mask")), "filter")
+
+
+def with_mark(df: DataFrame, key: str, words: DataFrame, made: str = "_mark") -> DataFrame:
+    """``df`` and whether a row's key may be in the table that a filter was made of; false is certain.
+
+    Where the table is so large that most bits are set, most rows are marked, and no harm is done.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    tested = df.withColumn("_bit", bit).join(F.broadcast(words), F.shiftright("_bit", 5).cast("int") == F.col("_filter_at"), "left")  # of bounded size
+    hit = F.expr("coalesce(_filter_mask & shiftleft(1L, cast(_bit & 31 as int)), 0L) <> 0")
+    return tested.select(*df.columns, hit.alias(made))
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it lies; no error if it is not there."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import Scratch, slices, table
+from gridlark.llm.common import Scratch, bit_filter, slices, table, with_mark
 from gridlark.llm.components import connected_components
 
 #: Hash values a sketch retains.
@@ -22,8 +22,6 @@ MARGIN = 0.25
 LEAST_PERCENT = 60
 #: Most members and bytes of hashes in a block of a group.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
-#: Bits of the filter that tells which texts are read a second time.
-FILTER_BITS = 1 << 24
 #: Distinct words whose hashes a task remembers.
 WORDS_KEPT = 1 << 18
 
@@ -101,6 +99,8 @@ def list_members(classes: DataFrame, percent: int, scratch: Scratch) -> DataFram
     postings = classes.select("cls", "n_shingles", kept.alias("kept"), F.explode("sketch").alias("value"))
     lists = postings.groupBy("value").agg(F.count(F.lit(1)).alias("length"), F.min("cls").alias("hub")).where("length > 1")
     lists = scratch.table(lists, "lists")  # a join of plain reads, which adaptive execution splits at a hot value
+    # most values are in no list: a filter spares them the join
+    postings = with_mark(postings, "value", bit_filter(lists, "value", scratch)).where("_mark").drop("_mark")
     shared = postings.join(lists, "value").groupBy("cls", "n_shingles", "kept").agg(F.sort_array(F.collect_list(F.struct("length", "value", "hub"))).alias("found"))  # at most K
     walked = F.col("kept") - F.ceil(F.col("kept") * least - 1e-9) + 1
     unshared = F.col("kept") - F.size("found")  # lists of one, before all others
@@ -108,31 +108,22 @@ def list_members(classes: DataFrame, percent: int, scratch: Scratch) -> DataFram
     return shared.select(F.col("cls").alias("member"), "n_shingles", F.explode(F.array_distinct(F.transform(rarest, lambda x: x["hub"]))).alias("hub"))
 
 
-def full_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """(member, hashes) of the wanted (member, rep, digest); each text is read again, only theirs are hashed.
 
     A filter of fixed size tells most unwanted texts before anything is
     shuffled; a join keeps just the wanted ones.
     """
-    bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    marks = wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("mask"))
-    mask = np.zeros(FILTER_BITS // 32, np.uint32)
-    for part in marks.toArrow().to_batches():  # at most FILTER_BITS / 32 rows
-        mask[part.column(0).to_numpy()] = part.column(1).to_numpy().astype(np.uint32)
-    sent = docs.sparkSession.sparkContext.broadcast(mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, bits = Shingler(words), sent.value
+        shingle = Shingler(words)
         for batch in slices(batches):
-            at = batch.column(2).to_numpy()
-            on = np.flatnonzero((bits[at // 32] >> (at % 32).astype(np.uint32)) & 1)
-            if len(on):
-                part = batch.take(pa.array(on))
-                sets = [shingle(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "digest", "hashes"])
+            sets = [shingle(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "digest", "hashes"])
 
     read = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    sets = read.withColumn("bit", F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))).mapInArrow(run, "rep long, digest binary, hashes binary")
+    read = with_mark(read, "rep", bit_filter(wanted, "rep", scratch)).where("_mark").drop("_mark")
+    sets = read.mapInArrow(run, "rep long, digest binary, hashes binary")
     # repeated rows give a set once; the grouping keeps the join's partitioning
     return wanted.join(sets, ["rep", "digest"]).groupBy("rep", "digest").agg(F.first("member").alias("member"), F.first("hashes").alias("hashes")).select("member", "hashes")
 
@@ -313,7 +304,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
         members = scratch.table(list_members(classes, percent, scratch), "members")
         wanted = classes.select(F.col("cls").alias("member"), "rep", "digest").join(members.select("member").distinct(), "member", "left_semi")
-        sets = scratch.table(full_sets(docs, doc_id, text, words, wanted), "sets")
+        sets = scratch.table(full_sets(docs, doc_id, text, words, wanted, scratch), "sets")
         sketched = classes.select(F.col("cls").alias("member"), "n_shingles", "sketch")
         edges = group_edges(members, sketched, sets, percent, 100, scratch)
         # the classes of a document whose rows have several sets are joined

@@ -29,3 +29,14 @@ def test_components_equal_union_find(spark, seed):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_filter_marks_all_wanted_rows_and_few_others(spark):
+    from gridlark.llm.common import Scratch, bit_filter, with_mark
+
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 100 = 7 THEN null ELSE id END AS k", "id AS at_", "'x' AS mask")
+    with Scratch(spark) as scratch:
+        got = with_mark(rows, "k", bit_filter(spark.range(0, 20_000, 7).toDF("k"), "k", scratch)).collect()
+        assert len(got) == 20_000 and not any(r["_mark"] for r in with_mark(rows, "k", bit_filter(spark.range(0).toDF("k"), "k", scratch)).collect())
+    assert all(r["_mark"] for r in got if r["k"] is not None and r["k"] % 7 == 0)
+    assert sum(r["_mark"] for r in got) < 2900
