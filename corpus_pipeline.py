@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import table
+from gridlark.llm.common import Scratch, bit_filter, table, with_mark
 from gridlark.llm.decontaminate import find_leaks
 from gridlark.llm.language_id import UNKNOWN, held_out, predict, train
 from gridlark.llm.mixing import mix_sources
@@ -41,15 +41,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group of near-duplicates (80 % of five-word shingles), in one row."""
     found = near_duplicates(docs, percent=80)
-    gone = found.where("not kept").select("doc_id").distinct()
-    docs = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.limit(1).count():
-        return docs
-    # of rows with one doc_id the least stays, by its columns in order
-    row = F.struct(*[c for c in COLUMNS if c != "doc_id"])
-    least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*")
-    return docs.join(again, "doc_id", "left_anti").unionByName(least)
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 or not kept")
+    with Scratch(spark) as scratch:
+        again = scratch.table(again, "again")
+        # rows that a filter tells apart stay as they are; only the others, whole texts that they are, are exchanged
+        marked = with_mark(docs.select(*COLUMNS), "doc_id", bit_filter(again, "doc_id", scratch))
+        some = marked.where("_mark").drop("_mark").join(again, "doc_id", "left")
+        # of rows with one doc_id the least stays, by its columns in order
+        row = F.struct(*[c for c in COLUMNS if c != "doc_id"])
+        least = some.where("kept and n > 1").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*")
+        out = marked.where("not _mark").drop("_mark").unionByName(some.where("kept is null").select(*COLUMNS)).unionByName(least)
+        return table(out, "unlike")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
