@@ -92,6 +92,23 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of texts that go to Python at a time, where the session has Spark's default of 10,000.
+BATCH = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts(df: DataFrame) -> DataFrame:
+    """``df``, whose rows are texts that go to Python: batches of Arrow are made smaller for the session.
+
+    A batch is held by the JVM and by Python at once, so that its size times
+    the tasks of an executor counts. A session's own setting is left alone.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS) == "10000":
+        conf.set(_ROWS, str(BATCH))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches, so that a task holds few texts as Python objects at a time."""
     for batch in batches:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import carried, slices, table
+from gridlark.llm.common import carried, slices, table, texts
 
 #: A token is a longest run of letters, digits and underscores, in lower case.
 TOKEN = re.compile(r"\w+")
@@ -312,7 +312,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry:
             sent.destroy()
         # of bounded size; plain values, as executors may lack this package
         sent = docs.sparkSession.sparkContext.broadcast([tuple(vars(index).values()) for index in group])
-        out = out.mapInArrow(passed(sent), f"{kinds}, _text string, hits {HITS}")
+        out = texts(out).mapInArrow(passed(sent), f"{kinds}, _text string, hits {HITS}")
     return out.select(*carry, F.array_sort("hits").alias("hits"))
 
 

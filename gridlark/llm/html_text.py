@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm.common import carried, slices
+from gridlark.llm.common import carried, slices, texts
 
 # Fixed values of HTML: kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -371,12 +371,12 @@ def extract_text(pages: DataFrame, source: str = "html", carry: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [None if h is None else render(build_tree(h), widest) for h in batch.column(at).to_pylist()]
-            chars = [len(t or "") for t in texts]
-            lines = [t.count("\n") + 1 if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), pa.array(chars, pa.int64()), pa.array(lines, pa.int64())], names=[*carry, *made])
+            found = [None if h is None else render(build_tree(h), widest) for h in batch.column(at).to_pylist()]
+            chars = [len(t or "") for t in found]
+            lines = [t.count("\n") + 1 if t else 0 for t in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found, pa.string()), pa.array(chars, pa.int64()), pa.array(lines, pa.int64())], names=[*carry, *made])
 
-    return pages.select(*carry, pages[source].alias("_html")).mapInArrow(run, schema)
+    return texts(pages.select(*carry, pages[source].alias("_html"))).mapInArrow(run, schema)
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

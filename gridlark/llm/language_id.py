@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import carried, slices
+from gridlark.llm.common import carried, slices, texts
 
 #: n-grams of one to three characters share 2 ** BITS places.
 BITS, ORDERS = 15, (1, 2, 3)
@@ -152,7 +152,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *df[at].tolist()], pa.int64())], names=["place", "n"])
 
-    seen = rows.select("text").mapInArrow(frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    seen = texts(rows.select("text")).mapInArrow(frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(1 << BITS)
     n_docs = int(seen.loc[seen["place"] == -1, "n"].sum())
     seen = seen[seen["place"] >= 0]
@@ -245,7 +245,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
                 scores.append(0.0 if p is None else float(p.max()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
 
-    return docs.select(*carry, docs[text].alias("_text")).mapInArrow(run, schema)
+    return texts(docs.select(*carry, docs[text].alias("_text"))).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

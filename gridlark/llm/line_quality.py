@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm.common import WORD, carried, slices
+from gridlark.llm.common import WORD, carried, slices, texts
 
 #: Phrases of boilerplate by language, in lower case; a line with one of them fails.
 BOILERPLATE = {
@@ -142,7 +142,7 @@ def clean_lines(
             columns = [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=[*carry, *names])
 
-    return docs.select(*carry, docs[text].alias("_text")).mapInArrow(run, schema)
+    return texts(docs.select(*carry, docs[text].alias("_text"))).mapInArrow(run, schema)
 
 
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

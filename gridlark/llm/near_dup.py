@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import Scratch, bit_filter, slices, table, with_mark
+from gridlark.llm.common import Scratch, bit_filter, slices, table, texts, with_mark
 from gridlark.llm.components import connected_components
 
 #: Hash values a sketch retains.
@@ -77,7 +77,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
             lows = pa.array([s[:K] for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), lows], names=["doc_id", "n_shingles", "digest", "sketch"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
 def list_members(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -123,7 +123,7 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: DataF
 
     read = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
     read = with_mark(read, "rep", bit_filter(wanted, "rep", scratch)).where("_mark").drop("_mark")
-    sets = read.mapInArrow(run, "rep long, digest binary, hashes binary")
+    sets = texts(read).mapInArrow(run, "rep long, digest binary, hashes binary")
     # repeated rows give a set once; the grouping keeps the join's partitioning
     return wanted.join(sets, ["rep", "digest"]).groupBy("rep", "digest").agg(F.first("member").alias("member"), F.first("hashes").alias("hashes")).select("member", "hashes")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import carried, shared_folder, slices, table, word_count
+from gridlark.llm.common import carried, shared_folder, slices, table, texts, word_count
 
 #: Where the public vocabularies lie unless a caller says otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -46,12 +46,12 @@ def count_tokens(docs: DataFrame, text: str = "text", carry: list[str] | None =
         encoders = None
         for batch in slices(batches):
             encoders = encoders or {v: _encoder(path).encode_ordinary for v, path in vocabularies.items()}
-            texts = batch.column(at).to_pylist()
+            own = batch.column(at).to_pylist()
             for version, encode in encoders.items():
-                counts = [len(encode(t)) if t else 0 for t in texts]
+                counts = [len(encode(t)) if t else 0 for t in own]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=[*carry, "version", "n_tokens"])
 
-    return docs.select(*carry, docs[text].alias("_text")).mapInArrow(run, schema)
+    return texts(docs.select(*carry, docs[text].alias("_text"))).mapInArrow(run, schema)
 
 
 #: What a log holds: the value of a document and version after a batch.
