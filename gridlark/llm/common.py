@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,25 +65,43 @@ class Scratch:
         delete_folder(self.spark, self.folder)
 
 
-#: Bits of a filter that tells which rows a join can concern.
-FILTER_BITS = 1 << 24
+#: Bits of a filter that tells which rows a join can concern: 32 MB, in rows of 1,024 words of 64.
+FILTER_BITS, FILTER_WORDS = 1 << 28, 1 << 10
 
 
 def bit_filter(wanted: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """(_filter_at, _filter_mask): the bits that the keys of a table set, in words of 32; of at most FILTER_BITS / 32 rows, whatever the table."""
+    """(_filter_at, _filter_words): the bits that the keys of a table set; FILTER_BITS in at most 4,096 rows, whatever the table.
+
+    Words are put together before the shuffle; a task that packs them holds no more than the filter.
+    """
     bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("_filter_at"))
-    return scratch.table(words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("_filter_mask")), "filter")
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
+    at = F.floor(F.col("word") / FILTER_WORDS).cast("int")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place, word, mask = (c.to_numpy() for c in batch.columns)
+            for k in np.unique(place):
+                own = place == k
+                rows.setdefault(int(k), np.zeros(FILTER_WORDS, np.int64))[word[own] % FILTER_WORDS] = mask[own]
+        for k, row in rows.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row], pa.list_(pa.int64()))], names=["_filter_at", "_filter_words"])
+
+    # sorted, so that a batch has few places
+    packed = words.select(at.alias("at"), "word", "mask").repartition("at").sortWithinPartitions("at")
+    return scratch.table(packed.mapInArrow(pack, "_filter_at int, _filter_words array<long>"), "filter")
 
 
 def with_mark(df: DataFrame, key: str, words: DataFrame, made: str = "_mark") -> DataFrame:
     """``df`` and whether a row's key may be in the table that a filter was made of; false is certain.
 
-    Where the table is so large that most bits are set, most rows are marked, and no harm is done.
+    Where the table is so large that most bits are set (some 10^8 keys), most rows are marked, and no harm is done.
     """
     bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    tested = df.withColumn("_bit", bit).join(F.broadcast(words), F.shiftright("_bit", 5).cast("int") == F.col("_filter_at"), "left")  # of bounded size
-    hit = F.expr("coalesce(_filter_mask & shiftleft(1L, cast(_bit & 31 as int)), 0L) <> 0")
+    tested = df.withColumn("_bit", bit).join(F.broadcast(words), F.shiftright("_bit", 16).cast("int") == F.col("_filter_at"), "left")  # of bounded size
+    hit = F.expr(f"coalesce(_filter_words[cast(shiftright(_bit, 6) % {FILTER_WORDS} as int)] & shiftleft(1L, cast(_bit & 63 as int)), 0L) <> 0")
     return tested.select(*df.columns, hit.alias(made))
 
 
