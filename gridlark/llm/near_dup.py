@@ -236,6 +236,11 @@ def pairs_of_blocks(many: DataFrame, scratch: Scratch) -> DataFrame:
     return many.select("hub", "member", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
 
+def _marked(rows: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows whose member a filter marks as wanted; those that a join with ``wanted`` keeps are all among them."""
+    return with_mark(rows, "member", bit_filter(wanted, "member", scratch)).where("_mark").drop("_mark")
+
+
 def group_edges(members: DataFrame, sketched: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Edges with the same components as all links between members of a group.
 
@@ -263,13 +268,17 @@ def group_edges(members: DataFrame, sketched: DataFrame, sets: DataFrame, num: i
     many = scratch.table(many, "many")
     tops = many.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
     many = scratch.table(many.join(scratch.table(tops, "tops"), "hub").withColumn("core", F.col("label") == F.col("top")), "cores")
-    pairs = pairs_of_blocks(many, scratch).join(sketched, "member")
+    # what remains is few rows beside all sketches and sets: filters spare the others an exchange
+    many = scratch.table(many.join(many.where("not core").select("hub").distinct(), "hub", "left_semi"), "loose")
+    if not many.limit(1).count():
+        return first
+    pairs = pairs_of_blocks(many, scratch).join(_marked(sketched, many, scratch), "member")
     ahead = pairs.groupBy("hub", "lo", "hi").applyInPandas(_block_open(num, den), "hub long, member long").distinct()
     ahead = scratch.table(ahead, "open")
     if not ahead.limit(1).count():
         return first
     many = scratch.table(many.join(ahead, ["hub", "member"], "left_semi"), "still")
-    second = pairs_of_blocks(many, scratch).join(sets, "member").groupBy("hub", "lo", "hi").applyInPandas(_block_edges(num, den), edge)
+    second = pairs_of_blocks(many, scratch).join(_marked(sets, many, scratch), "member").groupBy("hub", "lo", "hi").applyInPandas(_block_edges(num, den), edge)
     return scratch.table(first.unionByName(second).distinct(), "edges")
 
 

@@ -142,3 +142,48 @@ def test_scratch_tables_are_removed(spark):
     before = {f for f in os.listdir(folder) if f.startswith("scratch-")}
     near_dup.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")).count()
     assert {f for f in os.listdir(folder) if f.startswith("scratch-")} <= before
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_comparing_the_rest_of_a_large_group_exchanges_no_other_documents(spark, monkeypatch):
+    """Sketches and sets of small groups stay where they are, also where no table is small enough for a broadcast."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 7)
+    rng = random.Random(7)
+    texts = []
+    base = [f"w{k}" for k in range(120)]
+    for _ in range(24):  # one group of several blocks, not all linked
+        text = list(base)
+        for _ in range(rng.randrange(6)):
+            text[rng.randrange(120)] = f"x{rng.randrange(50)}"
+        texts.append(text)
+    for k in range(1500):  # groups of two
+        pair = [f"p{k}-{n}" for n in range(40)]
+        texts += [pair, [*pair, "end"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    moved, write = {}, near_dup.Scratch.table
+
+    def counted(self, df, name):
+        before = shuffled(spark)
+        out = write(self, df, name)
+        moved.setdefault(name, []).append(shuffled(spark) - before)
+        return out
+
+    monkeypatch.setattr(near_dup.Scratch, "table", counted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = result(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {i: got[i] for i in range(24)} == brute(rows[:24], 5, 85)
+    assert all(got[i][1] == i - i % 2 for i in range(24, len(rows)))
+    assert len(moved["edges"]) == 2  # the second comparison took place
+    assert max(moved["open"][0], moved["edges"][1]) < 3000  # fewer than the members of groups of two; 1,500 first edges are exchanged
